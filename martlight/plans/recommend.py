@@ -187,7 +187,7 @@ def unpurchased_candidates(t: Marketplace, limit: int = 1000) -> DataFrame:
     wanted = shares.select(PERSON, F.explode(F.sequence(F.lit(1).cast("long"), take)).alias("slot"))
     ranking = rank_first(catalogue, [F.col("product_id")], "place")
     history = bought.join(shares.select(PERSON), PERSON, "left_semi")
-    return nth_unseen(wanted, history, ranking, PERSON, "product_id").select(PERSON, "product_id")
+    return nth_unseen(wanted, history, ranking, [PERSON], "product_id").select(PERSON, "product_id")
 
 
 def order_cutoff(t: Marketplace, p: float = 0.8) -> DataFrame:
