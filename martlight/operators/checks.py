@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from martlight.functions.columns import count_where, share_ratio
-from martlight.operators.ordering import exact_quantiles
+from martlight.operators.ordering import quantiles_of
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -139,20 +139,32 @@ def crosstab_pct(df: DataFrame, rows: str, columns: str, levels: Sequence[str])
 
 def profile_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, sample standard deviation, minimum, quartiles and maximum per column."""
-    reports = []
+    points = {c: {f"{c}|25": 0.25, f"{c}|50": 0.5, f"{c}|75": 0.75} for c in columns}
+    quartiles = quantiles_of(df, points)
+    packed = quartiles.select(F.struct(*[f"`{c}`" for c in quartiles.columns])).scalar()
+    stats = []
     for name in columns:
         value = F.col(name).cast("double")
-        quartiles = exact_quantiles(df, name, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-        stats = df.agg(
+        stats.append(
+            F.struct(
+                F.count(value).alias("count"),
+                F.avg(value).alias("mean"),
+                F.stddev_samp(value).alias("std"),
+                F.min(value).alias("min"),
+                F.max(value).alias("max"),
+            ).alias(name)
+        )
+    wide = df.agg(*stats).withColumn("q", packed)
+    rows = [
+        F.struct(
             F.lit(name).alias("column_name"),
-            F.count(value).alias("count"),
-            F.avg(value).alias("mean"),
-            F.stddev_samp(value).alias("std"),
-            F.min(value).alias("min"),
-            F.max(value).alias("max"),
-        ).withColumn("q", quartiles.select(F.struct("p25", "p50", "p75")).scalar())
-        reports.append(stats.select("column_name", "count", "mean", "std", "min", "q.*", "max"))
-    return concat_reports(reports)
+            *[F.col(f"`{name}`")[part].alias(part) for part in ("count", "mean", "std", "min")],
+            *[F.col("q")[f"{name}|{p}"].alias(f"p{p}") for p in (25, 50, 75)],
+            F.col(f"`{name}`")["max"].alias("max"),
+        )
+        for name in columns
+    ]
+    return wide.select(F.inline(F.array(*rows)))
 
 
 def histogram(df: DataFrame, column: str, bins: int, log1p: bool = False) -> DataFrame:

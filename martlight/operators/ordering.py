@@ -83,6 +83,13 @@ def _ntile_text(tiles: int) -> str:
     )
 
 
+def bin_of_rank(rank: str, size: str, bins: int) -> Column:
+    """Quantile bin 0..bins-1 of a first-rank among ``size`` rows."""
+    return F.expr(
+        f"CASE WHEN {size} > 1 THEN greatest(0L, (({rank} - 1) * {bins} + {size} - 2) div ({size} - 1) - 1) END"
+    ).cast("int")
+
+
 def quantile_bin(
     df: DataFrame, order: Sequence[Column], bins: int, out: str, labels: Sequence[str] | None = None
 ) -> DataFrame:
@@ -93,56 +100,78 @@ def quantile_bin(
     A single row has no bin (null).
     """
     placed = ordered_prefix(df, order)
-    code = F.expr(
-        "CASE WHEN total_count > 1 THEN "
-        f"greatest(0L, ((position - 1) * {bins} + total_count - 2) div (total_count - 1) - 1) END"
-    ).cast("int")
+    code = bin_of_rank("position", "total_count", bins)
     if labels is not None:
         code = F.element_at(F.array(*[F.lit(label) for label in labels]), code + 1)
     return placed.withColumn(out, code).drop("position", "total_count")
 
 
-def _value_positions(df: DataFrame, value: str) -> DataFrame:
-    """One row per distinct non-null value with its count and the rows up to it."""
-    histogram = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    return ordered_prefix(histogram, [F.col(value)], ["n"])
+def _long(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
+    """Non-null values of the columns as rows (kept columns, ``c`` column number, ``v`` value)."""
+    entries = [F.struct(F.lit(i).alias("c"), F.col(name).cast("double").alias("v")) for i, name in enumerate(columns)]
+    return df.select(*keep, F.inline(F.array(*entries))).where(F.col("v").isNotNull())
 
 
-def pct_rank_avg(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Average rank of ties divided by the number of non-null values."""
-    positions = _value_positions(df, value)
-    scored = positions.select(
-        F.col(value),
-        ((F.col("running_n") - F.col("n") + (F.col("n") + 1) / F.lit(2.0)) / F.col("total_n")).alias(out),
-    )
-    return df.join(scored, value, "left")
+def quantiles_of(df: DataFrame, wanted: dict[str, dict[str, float]]) -> DataFrame:
+    """Exact linear-interpolated quantiles of several columns as one row.
+
+    ``wanted`` maps a column to its output names and points.  Values are counted
+    before they are ordered, so repeated values cost one row, all columns share one
+    ordering pass, and no task holds a column.  A column without values gives null.
+    """
+    counts = _long(df, list(wanted)).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    placed = ordered_prefix(counts, [F.col("c"), F.col("v")], ["n"]).select("c", "v", "n", "running_n")
+    # One row per wanted column.
+    sizes = placed.groupBy("c").agg(F.min(F.col("running_n") - F.col("n")).alias("start"), F.sum("n").alias("size"))
+    placed = placed.join(F.broadcast(sizes), "c")
+    first = F.col("running_n") - F.col("n") - F.col("start")
+    last = F.col("running_n") - 1 - F.col("start")
+    picks, results = [], []
+    for i, points in enumerate(wanted.values()):
+        mine = F.col("c") == i
+        for name, p in points.items():
+            at = F.lit(float(p)) * (F.col("size") - 1)
+            picks += [
+                F.max(F.when(mine & F.floor(at).between(first, last), F.col("v"))).alias(f"lo_{name}"),
+                F.max(F.when(mine & F.ceil(at).between(first, last), F.col("v"))).alias(f"hi_{name}"),
+                F.max(F.when(mine, at - F.floor(at))).alias(f"f_{name}"),
+            ]
+            low, high = F.col(f"lo_{name}"), F.col(f"hi_{name}")
+            results.append((low + (high - low) * F.col(f"f_{name}")).alias(name))
+    return placed.agg(*picks).select(*results)
 
 
 def exact_quantiles(df: DataFrame, value: str, points: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolated quantiles as one row, one double column per entry of ``points``.
+    """``quantiles_of`` for one column."""
+    return quantiles_of(df, {value: points})
 
-    Values are counted before they are ordered, so repeated values cost one row and
-    no task holds the column.
+
+def column_ranks(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Ranks of several columns, one row per key, from one ordering pass.
+
+    For each column ``c``: ``first_c`` (1..n, ties by key), ``average_c`` (mean rank of
+    ties) and ``size_c`` (number of non-null values).  ``key`` must be unique.
     """
-    source = df.select(F.col(value).cast("double").alias("v"))
-    positions = _value_positions(source, "v")
+    placed = ordered_prefix(_long(df, columns, key), [F.col("c"), F.col("v"), F.col(key)]).drop("total_count")
+    # One row per ranked column.
+    sizes = placed.groupBy("c").agg((F.min("position") - 1).alias("start"), F.count(F.lit(1)).alias("size"))
+    ties = placed.groupBy("c", "v").agg(((F.min("position") + F.max("position")) / F.lit(2.0)).alias("middle"))
+    ranked = placed.join(F.broadcast(sizes), "c").join(ties, ["c", "v"])
     picks = []
-    for name, p in points.items():
-        at = F.lit(float(p)) * (F.col("total_n") - 1)
-        low, high = F.floor(at), F.ceil(at)
-        first, last = F.col("running_n") - F.col("n"), F.col("running_n") - 1
+    for i, name in enumerate(columns):
+        mine = F.col("c") == i
         picks += [
-            F.max(F.when(low.between(first, last), F.col("v"))).alias(f"lo_{name}"),
-            F.max(F.when(high.between(first, last), F.col("v"))).alias(f"hi_{name}"),
-            F.max(at - low).alias(f"f_{name}"),
+            F.max(F.when(mine, F.col("position") - F.col("start"))).alias(f"first_{name}"),
+            F.max(F.when(mine, F.col("middle") - F.col("start"))).alias(f"average_{name}"),
+            F.max(F.when(mine, F.col("size"))).alias(f"size_{name}"),
         ]
-    found = positions.agg(*picks)
-    return found.select(
-        *[
-            (F.col(f"lo_{n}") + (F.col(f"hi_{n}") - F.col(f"lo_{n}")) * F.col(f"f_{n}")).alias(n)
-            for n in points
-        ]
-    )
+    return ranked.groupBy(key).agg(*picks)
+
+
+def pct_rank_avg(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """Average rank of ties divided by the number of non-null values."""
+    ranks = column_ranks(df, key, [value])
+    return df.join(ranks.select(key, (F.col(f"average_{value}") / F.col(f"size_{value}")).alias(out)), key, "left")
 
 
 def ts_quantile(df: DataFrame, ts: str, p: float, out: str = "cutoff_timestamp") -> DataFrame:

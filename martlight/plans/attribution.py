@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from martlight.functions.columns import count_where
 from martlight.operators.checks import concat_reports
 from martlight.operators.impute import clean_numeric, impute_median, validate_scoring_input
-from martlight.operators.ordering import exact_quantiles, top_k
+from martlight.operators.ordering import quantiles_of, top_k
 from martlight.plans.value import ACTUAL, FEATURES, PREDICTED, ValueModel, fitted, modelling_set
 from martlight.session import ensure_checkpoint_dir, stable
 from martlight.sources.tables import Marketplace
@@ -221,8 +221,8 @@ def inactive_high_value(df: DataFrame, n: int | None = 1, recency: str = "recenc
     """Rows at or above the 75th percentile of value and of recency, most valuable first."""
     if n is not None and not 1 <= n <= 500:
         raise ValueError("limit must be between 1 and 500.")
-    value_cut = exact_quantiles(df, PREDICTED, {"v": 0.75}).scalar()
-    recency_cut = exact_quantiles(df, recency, {"r": 0.75}).scalar()
+    cuts = quantiles_of(df, {PREDICTED: {"value_cut": 0.75}, recency: {"recency_cut": 0.75}})
+    value_cut, recency_cut = (cuts.select(name).scalar() for name in cuts.columns)
     found = df.where((F.col(PREDICTED) >= value_cut) & (F.col(recency) >= recency_cut))
     return top_k(found, [F.desc(PREDICTED), F.col(PERSON)], n) if n else found
 

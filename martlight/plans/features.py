@@ -16,7 +16,7 @@ from martlight.functions.columns import (
     safe_ratio,
     to_number,
 )
-from martlight.operators.ordering import grouped_quantile, pct_rank_avg, quantile_bin
+from martlight.operators.ordering import bin_of_rank, column_ranks, grouped_quantile
 from martlight.plans.facts import person_orders
 from martlight.session import stable
 from martlight.sources.tables import Marketplace, write_table
@@ -176,29 +176,27 @@ def customer_features(orders: DataFrame) -> DataFrame:
 def rfm_scores(base: DataFrame) -> DataFrame:
     """Percentiles, quintile scores and the rule segment.
 
-    Each score is computed on (person, value) alone and joined back on the person.
+    The three ranked columns share one ordering pass over (column, value, person).
     """
-    person = F.col(PERSON)
-
-    def percentile(value: str, out: str) -> DataFrame:
-        return pct_rank_avg(base.select(PERSON, value), value, out).select(PERSON, out)
-
-    def quintile(value: str, out: str) -> DataFrame:
-        return quantile_bin(base.select(PERSON, value), [F.col(value), person], 5, out).select(PERSON, out)
-
-    parts = [
-        percentile("total_revenue", "spend_percentile"),
-        percentile("recency_days", "recency_percentile"),
-        quintile("recency_days", "r"),
-        quintile("order_count", "f"),
-        quintile("total_revenue", "m"),
-    ]
-    scored = reduce(lambda df, part: df.join(part, PERSON), parts, base)
-    scored = scored.withColumns(
-        {"recency_score": 5 - F.col("r"), "frequency_score": F.col("f") + 1, "monetary_score": F.col("m") + 1}
-    ).drop("r", "f", "m")
+    ranks = column_ranks(base, PERSON, ["recency_days", "order_count", "total_revenue"])
+
+    def percentile(column: str) -> Column:
+        return F.col(f"average_{column}") / F.col(f"size_{column}")
+
+    def quintile(column: str) -> Column:
+        return bin_of_rank(f"first_{column}", f"size_{column}", 5)
+
+    scores = ranks.select(
+        PERSON,
+        percentile("total_revenue").alias("spend_percentile"),
+        percentile("recency_days").alias("recency_percentile"),
+        (5 - quintile("recency_days")).alias("recency_score"),
+        (quintile("order_count") + 1).alias("frequency_score"),
+        (quintile("total_revenue") + 1).alias("monetary_score"),
+    )
     total = F.col("recency_score") + F.col("frequency_score") + F.col("monetary_score")
-    return scored.withColumn("rfm_score", total).withColumn("customer_segment", rfm_segment())
+    scored = base.join(scores, PERSON).withColumn("rfm_score", total)
+    return scored.withColumn("customer_segment", rfm_segment())
 
 
 def rfm_segment() -> Column:

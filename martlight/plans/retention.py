@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from martlight.functions.columns import label_map, level_order, rule_case, to_number
 from martlight.operators.checks import value_counts_fixed
-from martlight.operators.ordering import exact_quantiles, pct_rank_avg
+from martlight.operators.ordering import column_ranks, quantiles_of
 from martlight.plans.segments import rounded, with_rule_clusters
 from martlight.plans.value import PREDICTED, modelling_set
 from martlight.session import stable
@@ -80,21 +80,18 @@ def retention_thresholds(base: DataFrame) -> DataFrame:
 
     A threshold without data stays null, so that every comparison with it is false.
     """
-    rated = base.select(F.nullif(F.col("average_review_score"), F.lit(0.0)).alias("review"))
-    value = exact_quantiles(base, PREDICTED, {"high_value": 0.75, "low_value": 0.25})
-    recency = exact_quantiles(base, "recency_days", {"high_recency": 0.75, "recent_activity": 0.25})
-    orders = exact_quantiles(base, "order_count", {"high_frequency": 0.75})
-    review = exact_quantiles(rated, "review", {"low_review": 0.25})
-    return value.select(
-        "*",
-        *_from(recency, "high_recency", "recent_activity"),
-        *_from(orders, "high_frequency"),
-        *_from(review, "low_review"),
+    rated = base.select(
+        PREDICTED, "recency_days", "order_count", F.nullif(F.col("average_review_score"), F.lit(0.0)).alias("review")
+    )
+    return quantiles_of(
+        rated,
+        {
+            PREDICTED: {"high_value": 0.75, "low_value": 0.25},
+            "recency_days": {"high_recency": 0.75, "recent_activity": 0.25},
+            "order_count": {"high_frequency": 0.75},
+            "review": {"low_review": 0.25},
+        },
     )
-
-
-def _from(row: DataFrame, *names: str) -> list[Column]:
-    return [row.select(name).scalar().alias(name) for name in names]
 
 
 def with_thresholds(base: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -146,11 +143,13 @@ def retention_action() -> Column:
 
 def opportunity_score(base: DataFrame) -> DataFrame:
     """0-100 from average-rank percentiles of value, recency and (inverted) orders."""
-    percentiles = base.select(PERSON, PREDICTED, "recency_days", "order_count")
-    for column, name in ((PREDICTED, "value_pct"), ("recency_days", "recency_pct"), ("order_count", "orders_pct")):
-        percentiles = pct_rank_avg(percentiles, column, name)
-    mix = F.col("value_pct") * 0.5 + F.col("recency_pct") * 0.35 + (1 - F.col("orders_pct")) * 0.15
-    return base.join(percentiles.select(PERSON, (mix * 100).alias("opportunity_score")), PERSON)
+    ranks = column_ranks(base, PERSON, [PREDICTED, "recency_days", "order_count"])
+
+    def pct(column: str) -> Column:
+        return F.col(f"average_{column}") / F.col(f"size_{column}")
+
+    mix = pct(PREDICTED) * 0.5 + pct("recency_days") * 0.35 + (1 - pct("order_count")) * 0.15
+    return base.join(ranks.select(PERSON, (mix * 100).alias("opportunity_score")), PERSON)
 
 
 def retention_table(base: DataFrame) -> DataFrame:
