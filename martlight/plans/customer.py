@@ -22,6 +22,7 @@ from martlight.plans.facts import (
     person_orders,
     product_categories,
 )
+from martlight.session import stable
 from martlight.sources.tables import Marketplace
 
 PERSON = "customer_unique_id"
@@ -60,7 +61,7 @@ def repeat_share(t: Marketplace) -> DataFrame:
 
 def order_frequency(t: Marketplace) -> DataFrame:
     """cq03"""
-    counts = order_counts(t)
+    counts = stable(order_counts(t))
     stats = counts.agg(
         exact_ratio(F.sum("order_count"), F.count(F.lit(1))).alias("average_orders_per_customer"),
         F.min("order_count").alias("minimum_orders"),
@@ -72,7 +73,7 @@ def order_frequency(t: Marketplace) -> DataFrame:
 
 def spend_summary(t: Marketplace) -> DataFrame:
     """cq04"""
-    spend = customer_spend(t)
+    spend = stable(customer_spend(t).select("total_spend"))
     stats = spend.agg(
         F.count(F.lit(1)).alias("customers"),
         exact_ratio(F.sum("total_spend"), F.count(F.lit(1))).alias("average_customer_spend"),
@@ -228,7 +229,7 @@ def order_intervals(t: Marketplace) -> DataFrame:
 
 def interval_statistics(t: Marketplace) -> DataFrame:
     """cq14"""
-    gaps = _with_previous(t).select(micros_between(TS, "previous_order_timestamp").alias("us"))
+    gaps = stable(_with_previous(t).select(micros_between(TS, "previous_order_timestamp").alias("us")))
     stats = gaps.agg(
         F.count(F.lit(1)).alias("repeat_purchase_intervals"),
         mean_days(F.sum(F.col("us").cast("decimal(20,0)")), F.count(F.lit(1))).alias("average_days_between_orders"),
@@ -273,7 +274,7 @@ def spend_deciles(t: Marketplace) -> DataFrame:
 
 def revenue_concentration(t: Marketplace, limit: int = 100) -> DataFrame:
     """cq17: only the listed rows are ordered; the total is a plain aggregate."""
-    spend = customer_spend(t).select(PERSON, "total_spend")
+    spend = stable(customer_spend(t).select(PERSON, "total_spend"))
     order = [F.desc("total_spend"), F.col(PERSON)]
     top = top_k(spend, order, limit)
     running = F.sum("total_spend").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

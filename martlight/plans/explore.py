@@ -10,6 +10,7 @@ from martlight.operators.checks import histogram, label_union, profile_numeric,
 from martlight.operators.ordering import exact_quantiles, ordered_prefix, top_k
 from martlight.plans import customer, product, quality
 from martlight.plans.facts import customer_spend
+from martlight.session import stable
 from martlight.sources.tables import Marketplace
 
 TS = "order_purchase_timestamp"
@@ -40,15 +41,15 @@ def _bins(df: DataFrame, column: str, bins: int, log1p: bool = False) -> DataFra
 
 
 def spend_profile(t: Marketplace) -> DataFrame:
-    return _described(spend_rows(t), ["total_spend"])
+    return _described(stable(spend_rows(t)), ["total_spend"])
 
 
 def spend_histogram(t: Marketplace) -> DataFrame:
-    return _bins(spend_rows(t), "total_spend", 60)
+    return _bins(stable(spend_rows(t)), "total_spend", 60)
 
 
 def spend_log_histogram(t: Marketplace) -> DataFrame:
-    return _bins(spend_rows(t), "total_spend", 60, log1p=True)
+    return _bins(stable(spend_rows(t)), "total_spend", 60, log1p=True)
 
 
 def top_states(t: Marketplace) -> DataFrame:
@@ -126,7 +127,7 @@ def delivery_rows(t: Marketplace) -> DataFrame:
 
 
 def delivery_profile(t: Marketplace) -> DataFrame:
-    return _described(delivery_rows(t), ["delivery_days", "delivery_vs_estimate_days"])
+    return _described(stable(delivery_rows(t)), ["delivery_days", "delivery_vs_estimate_days"])
 
 
 def delivery_histogram(t: Marketplace) -> DataFrame:
@@ -164,7 +165,7 @@ def seller_revenue(t: Marketplace) -> DataFrame:
 
 
 def seller_histogram(t: Marketplace) -> DataFrame:
-    return _bins(seller_revenue(t), "revenue", 60)
+    return _bins(stable(seller_revenue(t)), "revenue", 60)
 
 
 def concentration_curve(t: Marketplace) -> DataFrame:
@@ -191,7 +192,7 @@ def summary_metrics(t: Marketplace) -> DataFrame:
         "total_order_items": t.order_items,
     }
     numbers = {name: row_count(df).select(F.col("n").cast("double")) for name, df in counts.items()}
-    spend, transit = customer_spend(t), _delivery_micros(t)
+    spend, transit = stable(customer_spend(t).select("total_spend")), _delivery_micros(t)
     day = F.lit(86400e6)
     numbers["total_revenue"] = spend.agg(F.sum("total_spend").cast("double"))
     numbers["median_customer_spend"] = exact_quantiles(spend, "total_spend", {"m": 0.5}).select(F.round("m", 6))

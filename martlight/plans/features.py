@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlight.functions.columns import (
-    avg_positive,
     count_where,
     days_between,
     micros_between,
@@ -92,64 +91,82 @@ def observation_date(df: DataFrame):
     return latest
 
 
-def delivery_features(orders: DataFrame) -> DataFrame:
-    """Delivery behaviour per person over orders with both timestamps."""
-    done = orders.where(F.col(DELIVERED).isNotNull() & F.col(TS).isNotNull()).select(
-        PERSON,
-        "order_id",
-        micros_between(DELIVERED, TS).alias("transit"),
-        micros_between(DELIVERED, ESTIMATE).alias("lateness"),
+def _delivery_micros(orders: DataFrame) -> DataFrame:
+    """Orders with transit time and lateness in microseconds, null unless delivered and dated."""
+    done = F.col(DELIVERED).isNotNull() & F.col(TS).isNotNull()
+    return orders.withColumns(
+        {
+            "transit": F.when(done, micros_between(DELIVERED, TS)),
+            "lateness": F.when(done, micros_between(DELIVERED, ESTIMATE)),
+        }
     )
 
-    def mean_days(column: str) -> Column:
-        total = F.sum(F.col(column).cast("decimal(20,0)")).cast("double")
-        return total / F.count(column) / F.lit(MICROS_PER_DAY)
 
-    sums = done.groupBy(PERSON).agg(
-        mean_days("transit").alias("average_delivery_days"),
-        mean_days("lateness").alias("average_delivery_vs_estimate_days"),
-        count_where(F.col("lateness") > 0).alias("late_delivery_order_count"),
-        F.countDistinct("order_id").alias("delivered_order_count"),
-    )
-    median = grouped_quantile(done, [PERSON], "transit", 0.5, "m")
-    median = median.select(PERSON, (F.col("m") / F.lit(MICROS_PER_DAY)).alias("median_delivery_days"))
-    return sums.join(median, PERSON)
+def median_delivery(orders: DataFrame) -> DataFrame:
+    """Exact median transit days per person with a delivered order."""
+    median = grouped_quantile(_delivery_micros(orders).select(PERSON, "transit"), [PERSON], "transit", 0.5, "m")
+    return median.select(PERSON, (F.col("m") / F.lit(MICROS_PER_DAY)).alias("median_delivery_days"))
 
 
-DELIVERY = [
-    "average_delivery_days",
-    "median_delivery_days",
-    "average_delivery_vs_estimate_days",
-    "late_delivery_order_count",
-    "delivered_order_count",
-]
+def _order_sums(orders: DataFrame) -> DataFrame:
+    """One row per (person, order), so that orders are counted without a distinct pass."""
+    score = F.when(F.col("average_review_score") > 0, F.col("average_review_score"))
+    sums = [F.sum(c).alias(c) for c in NUMERIC if c != "average_review_score"]
+    return _delivery_micros(orders).groupBy(PERSON, "order_id").agg(
+        *sums,
+        F.count(F.lit(1)).alias("order_rows"),
+        F.min(TS).alias("first_ts"),
+        F.max(TS).alias("last_ts"),
+        F.sum(score).alias("score_sum"),
+        F.count(score).alias("score_count"),
+        F.sum(F.col("transit").cast("decimal(20,0)")).alias("transit"),
+        F.count("transit").alias("transit_count"),
+        F.sum(F.col("lateness").cast("decimal(20,0)")).alias("lateness"),
+        F.count("lateness").alias("lateness_count"),
+        count_where(F.col("lateness") > 0).alias("late"),
+    )
 
 
 def customer_features(orders: DataFrame) -> DataFrame:
     """One row per person from an order-level table (36 columns)."""
     orders = _coerced(orders)
     observed = F.lit(observation_date(orders)).cast("timestamp_ntz")
-    revenue = F.col("product_revenue") + F.col("freight_revenue")
-
-    def total(column: str | Column) -> Column:
-        return F.sum(column)
-
-    base = orders.withColumn("order_revenue", revenue).groupBy(PERSON).agg(
-        F.countDistinct("order_id").alias("order_count"),
-        total("order_revenue").cast("double").alias("total_revenue"),
-        total("product_revenue").cast("double").alias("total_product_revenue"),
-        total("freight_revenue").cast("double").alias("total_freight_revenue"),
-        total("item_count").alias("total_items"),
-        total("unique_products").alias("unique_products_purchased"),
-        F.count(F.lit(1)).alias("order_rows"),
-        F.min(TS).alias("first_purchase_date"),
-        F.max(TS).alias("last_purchase_date"),
-        F.coalesce(avg_positive("average_review_score"), F.lit(0.0)).alias("average_review_score"),
-        total("review_count").alias("total_reviews"),
-        total("negative_review_count").alias("negative_review_count"),
-        total("payment_value").cast("double").alias("total_payment_value"),
-        total("payment_record_count").alias("payment_record_count"),
-        total("payment_type_count").alias("payment_type_count"),
+
+    def total(column: str, out: str) -> Column:
+        return F.sum(column).alias(out)
+
+    def money(column: Column, out: str) -> Column:
+        return F.sum(column).cast("double").alias(out)
+
+    def mean_days(column: str, out: str) -> Column:
+        mean = F.sum(column).cast("double") / F.nullif(F.sum(f"{column}_count"), F.lit(0).cast("long"))
+        return F.coalesce(mean / F.lit(MICROS_PER_DAY), F.lit(0.0)).alias(out)
+
+    product, freight = F.col("product_revenue"), F.col("freight_revenue")
+    base = (
+        _order_sums(orders)
+        .groupBy(PERSON)
+        .agg(
+            F.count("order_id").alias("order_count"),
+            money(product + freight, "total_revenue"),
+            money(product, "total_product_revenue"),
+            money(freight, "total_freight_revenue"),
+            total("item_count", "total_items"),
+            total("unique_products", "unique_products_purchased"),
+            total("order_rows", "order_rows"),
+            F.min("first_ts").alias("first_purchase_date"),
+            F.max("last_ts").alias("last_purchase_date"),
+            safe_ratio(F.sum("score_sum"), F.sum("score_count")).alias("average_review_score"),
+            total("review_count", "total_reviews"),
+            total("negative_review_count", "negative_review_count"),
+            money(F.col("payment_value"), "total_payment_value"),
+            total("payment_record_count", "payment_record_count"),
+            total("payment_type_count", "payment_type_count"),
+            mean_days("transit", "average_delivery_days"),
+            mean_days("lateness", "average_delivery_vs_estimate_days"),
+            total("late", "late_delivery_order_count"),
+            count_where(F.col("transit_count") > 0).alias("delivered_order_count"),
+        )
     )
     age = F.greatest(days_between("last_purchase_date", "first_purchase_date"), F.lit(0.0))
     base = (
@@ -167,8 +184,8 @@ def customer_features(orders: DataFrame) -> DataFrame:
         )
         .withColumn("orders_per_active_day", safe_ratio("order_count", "customer_age_days"))
         .drop("order_rows")
-        .join(delivery_features(orders), PERSON, "left")
-        .fillna(0, DELIVERY)
+        .join(median_delivery(orders), PERSON, "left")
+        .fillna(0, ["median_delivery_days"])
     )
     return rfm_scores(stable(base))
 

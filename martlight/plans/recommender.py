@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from martlight.functions.columns import ranked_array
@@ -39,8 +39,9 @@ EXCLUDED_STATES = ["canceled", "unavailable"]
 BY_SIMILARITY = "item_item_similarity"
 BY_POPULARITY = "popularity_fallback"
 METHODS = {"popularity": "Popularity Baseline", "similarity": "Item-Item Collaborative Filtering"}
-# Similarities are summed as decimals so that equal scores tie whatever the order of summation.
-SCORE_TYPE = "decimal(14,12)"
+# Similarities are summed as integers of this unit, so that equal scores tie whatever the
+# order of summation.  A sum is at most the size of the largest basket of the candidate.
+SCORE_UNIT = 1_000_000_000_000
 
 
 def interactions(t: Marketplace) -> DataFrame:
@@ -107,15 +108,35 @@ def item_similarity(train: DataFrame) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class Recommender:
-    """Tables of a fitted recommender."""
+class History:
+    """Who bought what, once per different purchase set, and what is popular."""
 
     popularity: DataFrame  # product_id, popularity_rank, purchase_count, popularity_score, ...
     history: DataFrame  # history_id, product_id
     persons: DataFrame  # customer_unique_id, history_id
+
+
+@dataclass(frozen=True)
+class Recommender(History):
+    """History with the similarity of product classes."""
+
     members: DataFrame  # product_id, class_id, place within the class
     classes: DataFrame  # class_id, orders, size
-    edges: DataFrame  # src, dst, similarity between classes, with a loop for classes of two or more
+    edges: DataFrame  # src, dst, similarity in SCORE_UNITs, orders and size of dst
+
+
+def fit_history(train: DataFrame) -> History:
+    bought = history_rows(train)
+    sets = bought.groupBy(PERSON).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bit_xor(F.xxhash64("product_id")).alias("set_1"),
+        F.bit_xor(F.xxhash64("product_id", F.lit(7))).alias("set_2"),
+    )
+    first = sets.groupBy("n", "set_1", "set_2").agg(F.min(PERSON).alias("history_id"))
+    persons = stable(sets.join(first, ["n", "set_1", "set_2"]).select(PERSON, "history_id"))
+    owners = persons.where(F.col(PERSON) == F.col("history_id")).select("history_id")
+    history = bought.withColumnRenamed(PERSON, "history_id").join(owners, "history_id", "left_semi")
+    return History(popularity(train), stable(history), persons)
 
 
 def fit_recommender(train: DataFrame) -> Recommender:
@@ -124,41 +145,39 @@ def fit_recommender(train: DataFrame) -> Recommender:
     products = basket_classes(basket)
     named = products.groupBy(*signature).agg(F.min("product_id").alias("class_id"), F.count(F.lit(1)).alias("size"))
     member_of = products.join(named, signature).select("product_id", "class_id")
-    members = stable(grouped_position(member_of, ["class_id"], [F.col("product_id")], "place"))
+    members = grouped_position(member_of, ["class_id"], [F.col("product_id")], "place")
     classes = stable(named.select("class_id", "orders", "size"))
 
-    class_basket = (
-        basket.join(members, "product_id").select("order_id", F.col("class_id").alias("product_id")).distinct()
-    )
-    frequency = classes.select("class_id", "orders")
+    # The rows of a class's first member stand for the class.
+    class_basket = basket.join(classes.select(F.col("class_id").alias("product_id")), "product_id", "left_semi")
     pairs = (
         co_purchase_pairs(class_basket)
-        .join(frequency.toDF("product_a", "orders_a"), "product_a")
-        .join(frequency.toDF("product_b", "orders_b"), "product_b")
+        .join(classes.toDF("product_a", "orders_a", "size_a"), "product_a")
+        .join(classes.toDF("product_b", "orders_b", "size_b"), "product_b")
     )
-    similarity = jaccard(F.col("co_purchase_orders"), F.col("orders_a"), F.col("orders_b")).cast(SCORE_TYPE)
-    both = F.inline(
-        F.array(
-            F.struct(F.col("product_a").alias("src"), F.col("product_b").alias("dst")),
-            F.struct(F.col("product_b").alias("src"), F.col("product_a").alias("dst")),
+    similarity = jaccard(F.col("co_purchase_orders"), F.col("orders_a"), F.col("orders_b"))
+    units = F.round(similarity * SCORE_UNIT).cast("long").alias("similarity")
+
+    def towards(src: str, dst: str) -> Column:
+        return F.struct(
+            F.col(f"product_{src}").alias("src"),
+            F.col(f"product_{dst}").alias("dst"),
+            units,
+            F.col(f"orders_{dst}").alias("orders"),
+            F.col(f"size_{dst}").alias("size"),
         )
-    )
-    loops = classes.where(F.col("size") > 1).select(
-        F.col("class_id").alias("src"), F.col("class_id").alias("dst"), F.lit(1).cast(SCORE_TYPE).alias("similarity")
-    )
-    edges = stable(pairs.select(both, similarity.alias("similarity")).unionByName(loops))
 
-    bought = history_rows(train)
-    sets = bought.groupBy(PERSON).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.bit_xor(F.xxhash64("product_id")).alias("set_1"),
-        F.bit_xor(F.xxhash64("product_id", F.lit(7))).alias("set_2"),
+    loops = classes.where(F.col("size") > 1).select(
+        F.col("class_id").alias("src"),
+        F.col("class_id").alias("dst"),
+        F.lit(SCORE_UNIT).cast("long").alias("similarity"),
+        "orders",
+        "size",
     )
-    first = sets.groupBy("n", "set_1", "set_2").agg(F.min(PERSON).alias("history_id"))
-    persons = stable(sets.join(first, ["n", "set_1", "set_2"]).select(PERSON, "history_id"))
-    owners = persons.where(F.col(PERSON) == F.col("history_id")).select("history_id")
-    history = bought.withColumnRenamed(PERSON, "history_id").join(owners, "history_id", "left_semi")
-    return Recommender(popularity(train), stable(history), persons, members, classes, edges)
+    directed = pairs.select(F.inline(F.array(towards("a", "b"), towards("b", "a"))))
+    edges = stable(directed.unionByName(loops))
+    known = fit_history(train)
+    return Recommender(known.popularity, known.history, known.persons, stable(members), classes, edges)
 
 
 def similar_products(model: Recommender, k: int, histories: DataFrame | None = None) -> DataFrame:
@@ -171,40 +190,47 @@ def similar_products(model: Recommender, k: int, histories: DataFrame | None = N
         .groupBy("history_id", "class_id")
         .agg(F.count(F.lit(1)).alias("held"))
     )
-    scores = (
-        owned.join(model.edges, F.col("class_id") == F.col("src"))
-        .groupBy("history_id", F.col("dst").alias("class_id"))
-        .agg(F.sum(F.col("held") * F.col("similarity")).alias("score"))
+    reached = owned.join(model.edges, F.col("class_id") == F.col("src")).select(
+        "history_id",
+        F.col("dst").alias("class_id"),
+        (F.col("held") * F.col("similarity")).alias("score"),
+        "orders",
+        "size",
+        F.lit(0).cast("long").alias("held"),
+    )
+    nothing = F.lit(0).cast("long")
+    already = owned.select(
+        "history_id", "class_id", nothing.alias("score"), nothing.alias("orders"), nothing.alias("size"), "held"
     )
+    free = F.col("size") - F.col("held")
     open_classes = (
-        scores.join(owned, ["history_id", "class_id"], "left")
-        .join(model.classes, "class_id")
-        .withColumn("free", F.col("size") - F.coalesce("held", F.lit(0)))
-        .where(F.col("free") > 0)
+        reached.unionByName(already)
+        .groupBy("history_id", "class_id")
+        .agg(*[F.sum(c).alias(c) for c in ("score", "held")], *[F.max(c).alias(c) for c in ("orders", "size")])
+        .where(free > 0)
     )
     # Every class offers at least one product, so classes behind k better ones cannot be listed.
     best = Window.partitionBy("history_id").orderBy(F.desc("score"), F.desc("orders"))
     leading = open_classes.withColumn("class_rank", F.rank().over(best)).where(F.col("class_rank") <= k)
-    leading = stable(leading.select("history_id", "class_id", "score", "orders", "free", "held"))
+    leading = stable(leading.select("history_id", "class_id", "score", "orders", free.alias("free"), "held"))
 
     slots = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("free"), F.lit(k).cast("long"))))
-    wanted = leading.select("history_id", "class_id", slots.alias("slot"))
-    touched = leading.where(F.col("held") > 0).select("history_id", "class_id")
-    fresh = wanted.join(touched, ["history_id", "class_id"], "left_anti")
-    plain = fresh.join(
-        model.members, (fresh["class_id"] == model.members["class_id"]) & (F.col("slot") == F.col("place"))
-    ).select("history_id", fresh["class_id"], "product_id")
-    partly = wanted.join(touched, ["history_id", "class_id"], "left_semi")
-    rest = nth_unseen(partly, history, model.members, ["history_id", "class_id"], "product_id", ["class_id"])
-    listed = plain.unionByName(rest.select("history_id", "class_id", "product_id"))
+    wanted = leading.select("history_id", "class_id", "held", slots.alias("slot"))
+    places = model.members.withColumnRenamed("place", "slot")
+    plain = wanted.where(F.col("held") == 0).join(places, ["class_id", "slot"])
+    partly = wanted.where(F.col("held") > 0).drop("held")
+    listed = plain.select("history_id", "class_id", "product_id")
+    if not partly.isEmpty():
+        rest = nth_unseen(partly, history, model.members, ["history_id", "class_id"], "product_id", ["class_id"])
+        listed = listed.unionByName(rest.select("history_id", "class_id", "product_id"))
     candidates = listed.join(leading.select("history_id", "class_id", "score", "orders"), ["history_id", "class_id"])
     order = [F.desc("score"), F.desc("orders"), F.col("product_id")]
     return top_n_per(candidates, ["history_id"], order, k).select(
-        "history_id", "product_id", "rank", F.col("score").cast("double").alias("score")
+        "history_id", "product_id", "rank", (F.col("score") / F.lit(float(SCORE_UNIT))).alias("score")
     )
 
 
-def popular_unseen(model: Recommender, histories: DataFrame, k: int) -> DataFrame:
+def popular_unseen(model: History, histories: DataFrame, k: int) -> DataFrame:
     """The ``k`` most popular products each history does not hold."""
     ranking = model.popularity.select("product_id", F.col("popularity_rank").alias("place"))
     slots = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long")))
@@ -215,7 +241,7 @@ def popular_unseen(model: Recommender, histories: DataFrame, k: int) -> DataFram
     )
 
 
-def popular_top(model: Recommender, histories: DataFrame, k: int) -> DataFrame:
+def popular_top(model: History, histories: DataFrame, k: int) -> DataFrame:
     """The ``k`` most popular products, seen or not; a list of k rows goes to every history."""
     top = model.popularity.where(F.col("popularity_rank") <= k)
     listed = F.collect_list(F.struct(F.col("popularity_rank").cast("int").alias("rank"), "product_id"))
@@ -236,9 +262,11 @@ def recommend(model: Recommender, k: int = 10, customers: DataFrame | None = Non
     known = persons.where(F.col("history_id").isNotNull())
     histories = known.select("history_id").distinct()
     similar = stable(similar_products(model, k, histories).withColumn("method", F.lit(BY_SIMILARITY)))
-    lonely = histories.join(similar.select("history_id"), "history_id", "left_anti")
-    fallback = (popular_unseen if unseen_only else popular_top)(model, lonely, k)
-    per_history = similar.unionByName(fallback.withColumn("method", F.lit(BY_POPULARITY)))
+    lonely = stable(histories.join(similar.select("history_id"), "history_id", "left_anti"))
+    per_history = similar
+    if not lonely.isEmpty():
+        fallback = (popular_unseen if unseen_only else popular_top)(model, lonely, k)
+        per_history = similar.unionByName(fallback.withColumn("method", F.lit(BY_POPULARITY)))
     columns = [PERSON, "product_id", "rank", "score", "method"]
     found = known.join(per_history, "history_id").select(*columns)
     if customers is None:
@@ -248,7 +276,7 @@ def recommend(model: Recommender, k: int = 10, customers: DataFrame | None = Non
     return found.unionByName(cold.withColumnRenamed("history_id", PERSON).select(*columns))
 
 
-def popularity_recs(model: Recommender, customers: DataFrame, k: int = 10) -> DataFrame:
+def popularity_recs(model: History, customers: DataFrame, k: int = 10) -> DataFrame:
     """Popularity baseline: the ``k`` most popular unseen products of each person."""
     known = customers.select(PERSON).distinct().join(model.persons, PERSON)
     listed = popular_unseen(model, known.select("history_id").distinct(), k)
@@ -312,7 +340,7 @@ def saved_recs(recs: DataFrame, customer_id, k: int = 10) -> DataFrame:
     return mine.orderBy("rank").limit(k)
 
 
-def customer_history(model: Recommender, customer_id) -> DataFrame:
+def customer_history(model: History, customer_id) -> DataFrame:
     """Purchased products of one person."""
     mine = model.persons.where(F.col(PERSON).cast("string") == str(customer_id))
     return mine.join(model.history, "history_id").select(PERSON, "product_id").orderBy("product_id")
@@ -350,8 +378,13 @@ def product_category_table(t: Marketplace) -> DataFrame:
     return categories(t)
 
 
+def purchase_rows(t: Marketplace) -> DataFrame:
+    """Interactions joined once; every later step reads these narrow rows."""
+    return stable(interactions(t).select(PERSON, "order_id", TS, "product_id", "price"))
+
+
 def _train(t: Marketplace) -> DataFrame:
-    return time_split(interactions(t))[0]
+    return time_split(purchase_rows(t))[0]
 
 
 def popularity_table(t: Marketplace) -> DataFrame:
@@ -363,7 +396,7 @@ def similarity_table(t: Marketplace) -> DataFrame:
 
 
 def _eligible(t: Marketplace) -> tuple[DataFrame, DataFrame, DataFrame]:
-    train, test = time_split(interactions(t))
+    train, test = time_split(purchase_rows(t))
     customers = eligible_customers(train, test)
     truth = test.select(PERSON, "product_id").distinct().join(customers, PERSON, "left_semi")
     return train, customers, truth
@@ -383,7 +416,7 @@ def scored_recommendations(t: Marketplace) -> DataFrame:
 def baseline_recommendations(t: Marketplace) -> DataFrame:
     """k5_9"""
     train, customers, _ = _eligible(t)
-    return popularity_recs(fit_recommender(train), customers).select(PERSON, "product_id", "rank")
+    return popularity_recs(fit_history(train), customers).select(PERSON, "product_id", "rank")
 
 
 def method_comparison(t: Marketplace, k: int = 10) -> DataFrame:

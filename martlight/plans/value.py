@@ -7,14 +7,14 @@ from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlight.functions.columns import clip_zero, count_where, days_between, fixed_value_band, safe_ratio
 from martlight.operators.checks import profile_numeric
 from martlight.operators.impute import clean_numeric, impute_median, validate_scoring_input
 from martlight.operators.ordering import quantile_bin, rank_first
-from martlight.plans.facts import order_values, person_orders
+from martlight.plans.facts import person_orders
 from martlight.plans.recommend import order_cutoff
 from martlight.session import stable
 from martlight.sources.tables import Marketplace, require_columns
@@ -39,33 +39,35 @@ BANDS = ["Low", "Medium", "High", "Very High"]
 
 def clv_dataset(t: Marketplace, cutoff) -> DataFrame:
     """Persons with an order up to ``cutoff``: history sums, and revenue after it (0 if none)."""
-    limit = F.lit(cutoff).cast("timestamp_ntz")
-    orders = person_orders(t, TS)
     items = t.order_items.groupBy("order_id").agg(
         F.sum(F.col("price") + F.col("freight_value")).alias("revenue"),
         F.count(F.lit(1)).alias("item_count"),
         F.countDistinct("product_id").alias("unique_products"),
     )
-    history = (
-        orders.where(F.col(TS) <= limit)
+    past = F.col(TS) <= F.lit(cutoff).cast("timestamp_ntz")
+    zero = F.lit(0)
+
+    def money(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("revenue"))).cast("double"), zero.cast("double"))
+
+    def past_sum(column: str) -> Column:
+        return F.coalesce(F.sum(F.when(past, F.col(column))), zero)
+
+    return (
+        person_orders(t, TS)
         .join(items, "order_id", "left")
         .groupBy(PERSON)
         .agg(
-            F.count(F.lit(1)).alias("historical_order_count"),
-            F.coalesce(F.sum("revenue").cast("double"), F.lit(0.0)).alias("historical_revenue"),
-            F.coalesce(F.sum("item_count"), F.lit(0)).alias("historical_item_count"),
-            F.coalesce(F.sum("unique_products"), F.lit(0)).alias("historical_unique_products"),
-            F.min(TS).alias("first_purchase_date"),
-            F.max(TS).alias("last_purchase_date"),
+            F.count_if(past).alias("historical_order_count"),
+            money(past).alias("historical_revenue"),
+            past_sum("item_count").alias("historical_item_count"),
+            past_sum("unique_products").alias("historical_unique_products"),
+            F.min(F.when(past, F.col(TS))).alias("first_purchase_date"),
+            F.max(F.when(past, F.col(TS))).alias("last_purchase_date"),
+            money(~past).alias(ACTUAL),
         )
+        .where(F.col("historical_order_count") > 0)
     )
-    future = (
-        orders.where(F.col(TS) > limit)
-        .join(order_values(t.order_items), "order_id")
-        .groupBy(PERSON)
-        .agg(F.sum("order_value").cast("double").alias(ACTUAL))
-    )
-    return history.join(future, PERSON, "left").fillna(0, [ACTUAL])
 
 
 def clv_features(dataset: DataFrame, cutoff) -> DataFrame:

@@ -15,10 +15,10 @@ STEPS = {
         SELECT p.product_id AS a, q.product_id AS b, count(*) AS co FROM bask p JOIN bask q
         ON p.order_id = q.order_id AND p.product_id <> q.product_id GROUP BY 1, 2)
         JOIN pop x ON a = x.product_id JOIN pop y ON b = y.product_id""",
-    "near_all": """SELECT customer_unique_id, dst AS product_id, sum(CAST(j AS DECIMAL(14,12))) AS score FROM hist
+    "near_all": """SELECT customer_unique_id, dst AS product_id, sum(CAST(round(j * 1000000000000) AS BIGINT)) AS score FROM hist
         JOIN sim ON product_id = src WHERE (customer_unique_id, dst) NOT IN
         (SELECT (customer_unique_id, product_id) FROM hist) GROUP BY 1, 2""",
-    "near": """SELECT * FROM (SELECT customer_unique_id, product_id, CAST(score AS DOUBLE) AS score, row_number() OVER
+    "near": """SELECT * FROM (SELECT customer_unique_id, product_id, CAST(score AS DOUBLE) / 1000000000000.0 AS score, row_number() OVER
         (PARTITION BY customer_unique_id ORDER BY score DESC, purchase_count DESC, product_id) AS rank
         FROM near_all JOIN pop USING (product_id)) WHERE rank <= 10""",
     "elig": """SELECT DISTINCT customer_unique_id FROM test WHERE customer_unique_id IN
