@@ -31,11 +31,17 @@ def ordered_prefix(df: DataFrame, order: Sequence[Column], sums: Sequence[str] =
     unique key, otherwise ties are placed arbitrarily.
     """
     order = list(order)
-    in_range = Window.partitionBy(_RANGE).orderBy(*order)
-    upto = in_range.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = _ranged(df, order).withColumn("position", F.row_number().over(in_range).cast("long"))
-    for name in sums:
-        placed = placed.withColumn(f"running_{name}", F.sum(name).over(upto))
+    ranged = _ranged(df, order)
+    if sums:
+        in_range = Window.partitionBy(_RANGE).orderBy(*order)
+        upto = in_range.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = ranged.withColumn("position", F.row_number().over(in_range).cast("long"))
+        for name in sums:
+            placed = placed.withColumn(f"running_{name}", F.sum(name).over(upto))
+    else:
+        # The low 33 bits count the rows of a partition, here in sorted order.
+        index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        placed = ranged.sortWithinPartitions(*order).withColumn("position", index + 1)
     placed = stable(placed)
 
     # One row per range: as many rows as there are shuffle partitions.

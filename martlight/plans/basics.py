@@ -106,9 +106,9 @@ def guarded_ratios(t: Marketplace) -> DataFrame:
 
 def coerced(t: Marketplace) -> DataFrame:
     """b10-b12: unreadable numbers and dates become null and are counted."""
-    broken = F.col("order_id") % 11 == 0
-    text = F.when(broken, "n/a").otherwise(F.col("payment_value").cast("string"))
-    stamp = F.when(F.col("order_id") % 13 == 0, "unknown").otherwise("2020-01-31 10:00:00")
+    kind = F.col("payment_type")
+    text = F.when(kind == "voucher", "n/a").otherwise(F.col("payment_value").cast("string"))
+    stamp = F.when(kind == "boleto", "unknown").otherwise("2020-01-31 10:00:00")
     rows = t.order_payments.select(to_number(text).alias("value"), parse_timestamp(stamp).alias("at"))
     return rows.agg(
         F.count(F.lit(1)).alias("rows"),
@@ -148,11 +148,12 @@ def above_quantile(t: Marketplace) -> DataFrame:
 
 
 def key_sets(t: Marketplace) -> DataFrame:
-    """c11, c12, g3: sellers and products present or absent on either side."""
-    early = t.order_items.where(F.col("order_item_id") <= 2)
-    late = t.order_items.where(F.col("order_item_id") > 5)
-    both = key_common(early, late, "order_id").agg(F.count(F.lit(1)).alias("common"))
-    only = key_diff(early, late, "order_id").agg(F.count(F.lit(1)))
+    """c11, c12, g3: persons who bought before and after the cutoff, and only before it."""
+    cutoff = ts_quantile(t.orders, TS, 0.8).scalar()
+    orders = person_orders(t, TS)
+    early, late = orders.where(F.col(TS) <= cutoff), orders.where(F.col(TS) > cutoff)
+    both = key_common(early, late, PERSON).agg(F.count(F.lit(1)).alias("both_periods"))
+    only = key_diff(early, late, PERSON).agg(F.count(F.lit(1)))
     return both.withColumn("only_early", only.scalar())
 
 

@@ -17,6 +17,7 @@ from martlight.operators.pairs import (
 )
 from martlight.plans.facts import order_products, person_orders
 from martlight.plans.product import categories
+from martlight.session import stable
 from martlight.sources.tables import Marketplace
 
 PERSON = "customer_unique_id"
@@ -120,7 +121,7 @@ def preferred_categories(t: Marketplace, n: int = 5) -> DataFrame:
 
 
 def _top_pairs(t: Marketplace, limit: int) -> DataFrame:
-    pairs = co_purchase_pairs(rankable_baskets(baskets(t.order_items), limit))
+    pairs = co_purchase_pairs(rankable_baskets(stable(baskets(t.order_items)), limit))
     return top_k(pairs, [F.desc("co_purchase_orders"), F.col("product_a"), F.col("product_b")], limit)
 
 
@@ -132,7 +133,7 @@ def co_purchases(t: Marketplace, limit: int = 100) -> DataFrame:
 def co_purchases_with_categories(t: Marketplace, limit: int = 100) -> DataFrame:
     """rq08: items of unknown products are left out before ranking, as the joins would."""
     known = t.order_items.join(t.products.select("product_id"), "product_id", "left_semi")
-    pairs = co_purchase_pairs(rankable_baskets(baskets(known), limit))
+    pairs = co_purchase_pairs(rankable_baskets(stable(baskets(known)), limit))
     top = top_k(pairs, [F.desc("co_purchase_orders"), F.col("product_a"), F.col("product_b")], limit)
     names = t.products.select("product_id", "product_category_name")
     first = names.toDF("product_a", "product_a_category")
@@ -244,7 +245,7 @@ def training_popularity(t: Marketplace, limit: int = 100) -> DataFrame:
 
 def pair_jaccard(t: Marketplace, limit: int = 100) -> DataFrame:
     """rq15: ranked by the unrounded similarity."""
-    basket = baskets(t.order_items)
+    basket = stable(baskets(t.order_items))
     frequency = product_frequency(basket)
     pairs = (
         co_purchase_pairs(rankable_baskets(basket, limit))

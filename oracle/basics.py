@@ -23,9 +23,9 @@ SQL = {
     "b9_guarded_ratios": with_ctes("item", f"""SELECT seller_id, {cents('sum(pc + fc)')} AS gross,
         coalesce(({cents('sum(pc)')}) / nullif({cents('sum(fc)')}, 0), 0) AS price_per_freight,
         {half_up('100 * sum(fc)', 'count(*) FILTER (WHERE fc > 0)', 10000)} AS paid_freight FROM item GROUP BY 1"""),
-    "b11_coercion": with_ctes("pay", f"""SELECT count(*) AS rows, count(*) FILTER (WHERE order_id % 11 <> 0) AS numbers,
-        count(*) FILTER (WHERE order_id % 13 <> 0) AS dates, {cents('sum(vc) FILTER (WHERE order_id % 11 <> 0)')} AS total
-        FROM pay"""),
+    "b11_coercion": with_ctes("pay", f"""SELECT count(*) AS rows, count(*) FILTER (WHERE payment_type <> 'voucher') AS numbers,
+        count(*) FILTER (WHERE payment_type <> 'boleto') AS dates,
+        {cents("sum(vc) FILTER (WHERE payment_type <> 'voucher')")} AS total FROM pay"""),
     "b13_median_imputation": with_ctes("prod", """SELECT product_id,
         coalesce(CAST(photos AS DOUBLE), (SELECT median(CAST(photos AS DOUBLE)) FROM prod)) AS photos FROM prod"""),
     "b14_clipping": with_ctes("ord", f"""SELECT order_id, greatest({LATE}, 0) AS days_late, abs({LATE}) AS days_off,
@@ -34,9 +34,9 @@ SQL = {
         ELSE 'Other' END AS label, count(*) AS payments FROM pay GROUP BY 1"""),
     "b16_scalar_filter": with_ctes("item", f"""SELECT count(*) AS items, {cents('sum(pc)')} AS revenue FROM item
         WHERE price >= (SELECT {quantile('price', 0.9)} FROM item)"""),
-    "c11_key_sets": with_ctes("item", """SELECT count(*) FILTER (WHERE late) AS common,
-        count(*) FILTER (WHERE NOT late) AS only_early FROM (SELECT order_id, order_id IN
-        (SELECT order_id FROM item WHERE order_item_id > 5) AS late FROM item WHERE order_item_id <= 2 GROUP BY order_id)"""),
+    "c11_key_sets": with_ctes("po", """SELECT count(*) FILTER (WHERE early AND late) AS both_periods,
+        count(*) FILTER (WHERE early AND NOT late) AS only_early FROM (SELECT customer_unique_id,
+        bool_or(ts <= cutoff) AS early, bool_or(ts > cutoff) AS late FROM po CROSS JOIN cut GROUP BY 1)""", cut=cutoff("ord")),
     "d09_share_of_total": with_ctes("cust", f"""SELECT customer_state, count(*) AS accounts,
         {pct('count(*)', 'sum(count(*)) OVER ()')} AS share_pct FROM cust GROUP BY 1"""),
     "d11_positive_means": with_ctes("ord", f"""SELECT order_status, avg(CASE WHEN d > 0 THEN d END)
