@@ -168,7 +168,7 @@ def state_medians(t: Marketplace) -> DataFrame:
     """d12: exact median per group without a per-group task."""
     orders = person_orders(t, "customer_state").join(t.order_items.select("order_id", "price"), "order_id")
     return grouped_quantile(orders, ["customer_state"], "price", 0.5, "m").select(
-        "customer_state", F.col("m").cast("double").alias("median_price")
+        "customer_state", F.round("m", 4).cast("double").alias("median_price")
     )
 
 

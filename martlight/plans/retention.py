@@ -214,7 +214,7 @@ def base_query(t: Marketplace) -> DataFrame:
 
 
 def thresholds_query(t: Marketplace) -> DataFrame:
-    return retention_thresholds(stable(trend_base(t)))
+    return rounded(retention_thresholds(stable(trend_base(t))))
 
 
 def retention_query(t: Marketplace) -> DataFrame:

@@ -202,8 +202,12 @@ def rfm_by_cluster(df: DataFrame) -> DataFrame:
 # ---- registered queries -----------------------------------------------------
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c, dtype in df.dtypes if dtype == "double"})
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles of a report without the noise of summation order: sums to 4 decimals, the rest to 6."""
+    sums = ("total_", "predicted_")
+    return df.withColumns(
+        {c: F.round(c, 4 if c.startswith(sums) else 6) for c, dtype in df.dtypes if dtype == "double"}
+    )
 
 
 def with_rule_clusters(t: Marketplace) -> DataFrame:
@@ -216,7 +220,8 @@ def with_rule_clusters(t: Marketplace) -> DataFrame:
 
 
 def matrix_query(t: Marketplace) -> DataFrame:
-    return rounded(cluster_matrix(features_table(t)), 8)
+    matrix = cluster_matrix(features_table(t))
+    return matrix.withColumns({c: F.round(c, 8) for c in CLUSTER_FEATURES})
 
 
 def profile_query(t: Marketplace) -> DataFrame:

@@ -247,7 +247,7 @@ def with_trend_prediction(t: Marketplace) -> DataFrame:
     return modelling_set(t).withColumn(PREDICTED, F.col("historical_revenue") * 0.1)
 
 
-def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def _rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c, dtype in df.dtypes if dtype == "double"})
 
 
@@ -261,7 +261,7 @@ def error_query(t: Marketplace) -> DataFrame:
 
 
 def error_profile_query(t: Marketplace) -> DataFrame:
-    return _rounded(error_profile(with_trend_prediction(t)))
+    return _rounded(error_profile(with_trend_prediction(t)), 6)
 
 
 def bands_query(t: Marketplace) -> DataFrame:

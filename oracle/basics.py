@@ -41,7 +41,7 @@ SQL = {
         {pct('count(*)', 'sum(count(*)) OVER ()')} AS share_pct FROM cust GROUP BY 1"""),
     "d11_positive_means": with_ctes("ord", f"""SELECT order_status, avg(CASE WHEN d > 0 THEN d END)
         AS mean_positive_lateness FROM (SELECT order_status, floor({LATE}) AS d FROM ord) GROUP BY 1"""),
-    "d12_group_medians": with_ctes("sale", "SELECT customer_state, median(CAST(price AS DOUBLE)) AS median_price FROM sale GROUP BY 1"),
+    "d12_group_medians": with_ctes("sale", "SELECT customer_state, round(median(CAST(price AS DOUBLE)), 4) AS median_price FROM sale GROUP BY 1"),
     "d17_repeated_lines": with_ctes("item", """SELECT (SELECT count(*) FROM item) - (SELECT count(*) FROM
         (SELECT DISTINCT order_id, product_id FROM item)) AS duplicate_rows"""),
     "d20_fixed_levels": with_ctes("ord", " UNION ALL ".join(

@@ -14,12 +14,12 @@ def over(body: str, **more: str) -> str:
 
 
 def total(column: str, alias: str) -> str:
-    return f"round(sum({column}), 6) AS {alias}"
+    return f"round(sum({column}), 4) AS {alias}"
 
 
-def six(expr: str) -> str:
-    """Number text with six decimals."""
-    return f"CAST(CAST({expr} AS DECIMAL(26,6)) AS VARCHAR)"
+def six(expr: str, digits: int = 6) -> str:
+    """Number text with fixed decimals."""
+    return f"CAST(CAST({expr} AS DECIMAL(26,{digits})) AS VARCHAR)"
 
 
 def text(template: str, value_sql: str) -> str:
@@ -40,7 +40,7 @@ def spread(column: str) -> str:
         (SELECT {column}, count(*) AS n FROM ret GROUP BY 1))"""
 
 
-METRIC = "SELECT '{0}' AS metric, round(CAST({1} AS DOUBLE), 6) AS value FROM {2}".format
+METRIC = "SELECT '{0}' AS metric, round(CAST({1} AS DOUBLE), 4) AS value FROM {2}".format
 OPPORTUNITY = " UNION ALL ".join([
     METRIC("High-value inactive customers", "count(*)", "risk"),
     METRIC("Predicted revenue at opportunity", f"coalesce(sum({P}), 0)", "risk"),
@@ -68,8 +68,8 @@ CONTEXT = pairs([
 ])
 
 SEGMENT_LIST = "(SELECT '[' || string_agg(" + pairs([
-    ("segment", "segment", True), ("customers", "customers", False), ("total_revenue", six("tr"), False),
-    ("average_recency_days", six("ar"), False), ("average_order_count", six("ao"), False),
+    ("segment", "segment", True), ("customers", "customers", False), ("total_revenue", six("tr", 2), False),
+    ("average_recency_days", six("ar", 2), False), ("average_order_count", six("ao", 2), False),
 ]) + """, ',' ORDER BY segment) || ']' FROM (SELECT segment, count(*) AS customers, sum(total_revenue) AS tr,
     avg(recency_days) AS ar, avg(order_count) AS ao FROM ret GROUP BY 1))"""
 
@@ -79,13 +79,13 @@ DRIVER_LIST = "(SELECT '[' || string_agg(" + pairs([
 
 PORTFOLIO = pairs([
     ("customer_count", "count(DISTINCT customer_unique_id)", False),
-    ("predicted_future_revenue_total", six(f"sum({P})"), False),
-    ("average_predicted_customer_value", six(f"avg({P})"), False), ("average_recency_days", six("avg(recency_days)"), False),
+    ("predicted_future_revenue_total", six(f"sum({P})", 2), False),
+    ("average_predicted_customer_value", six(f"avg({P})", 2), False), ("average_recency_days", six("avg(recency_days)", 2), False),
     ("retention_priority_distribution", spread("retention_priority"), False),
     ("recommended_action_distribution", spread("recommended_action"), False),
     ("segment_distribution", spread("segment"), False), ("segment_summary", SEGMENT_LIST, False),
     ("top_model_drivers", DRIVER_LIST, False), ("high_value_inactive_customers", "(SELECT count(*) FROM risk)", False),
-    ("predicted_value_at_risk_opportunity", six(f"(SELECT coalesce(sum({P}), 0) FROM risk)"), False),
+    ("predicted_value_at_risk_opportunity", six(f"(SELECT coalesce(sum({P}), 0) FROM risk)", 2), False),
 ])
 
 ARTIFACTS = {"features": "ret", "segments": "ret", "clv": "trend", "retention": "ret"}
@@ -104,7 +104,7 @@ SQL = {
         recommended_action, recommendation_reason, round(opportunity_score, 6) AS opportunity_score FROM risk
         ORDER BY {P} DESC, customer_unique_id LIMIT 50"""),
     "k7_5_segment_summary": over(f"""SELECT segment, count(DISTINCT customer_unique_id) AS customers,
-        round(sum(f.total_revenue), 6) AS total_revenue, {mean('f.total_revenue', 'average_revenue')},
+        round(sum(f.total_revenue), 4) AS total_revenue, {mean('f.total_revenue', 'average_revenue')},
         {mean('recency_days', 'average_recency_days')}, {mean('order_count', 'average_order_count')},
         round(count(*) * 100 / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS customer_share_pct,
         round(sum(f.total_revenue) * 100 / sum(sum(f.total_revenue)) OVER (), 6) AS revenue_share_pct

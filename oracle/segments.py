@@ -22,7 +22,7 @@ def mean(column: str, alias: str) -> str:
 
 COMMON = ", ".join([
     "count(*) AS customers", mean("recency_days", "average_recency_days"), mean("order_count", "average_orders"),
-    mean("total_revenue", "average_revenue"), "round(sum(total_revenue), 6) AS total_revenue",
+    mean("total_revenue", "average_revenue"), "round(sum(total_revenue), 4) AS total_revenue",
     mean("average_order_value", "average_order_value"),
 ])
 CUSTOMER_SHARE = "round(count(*) * 100 / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS customer_share_pct"
@@ -109,14 +109,15 @@ PRIORITY = "(VALUES ('Critical', 1), ('High', 2), ('Medium', 3), ('Low', 4)) AS
 
 SQL.update({
     "k6_1_retention_base": over_retention("SELECT * FROM rbase"),
-    "k6_2_thresholds": over_retention("SELECT * FROM limits"),
+    "k6_2_thresholds": over_retention("SELECT " + ", ".join(f"round({c}, 6) AS {c}" for c in (
+        "high_value", "low_value", "high_recency", "recent_activity", "high_frequency", "low_review")) + " FROM limits"),
     "k6_3_retention_table": over_retention("SELECT * REPLACE (round(opportunity_score, 8) AS opportunity_score) FROM ret"),
     "k6_7_priority_distribution": over_retention(f"""SELECT level AS retention_priority, count(retention_priority) AS customers,
         {pct('count(retention_priority)', '(SELECT count(*) FROM ret)')} AS percentage
         FROM {PRIORITY} LEFT JOIN ret ON level = retention_priority GROUP BY 1"""),
     "k6_8_priority_profile": over_retention(f"""SELECT retention_priority, count(*) AS customers,
         {mean('predicted_future_revenue', 'average_predicted_value')},
-        round(sum(predicted_future_revenue), 6) AS total_predicted_value, {mean('recency_days', 'average_recency_days')},
+        round(sum(predicted_future_revenue), 4) AS total_predicted_value, {mean('recency_days', 'average_recency_days')},
         {mean('order_count', 'average_orders')}, {mean('opportunity_score', 'average_opportunity_score')}
         FROM ret GROUP BY 1"""),
     "k6_9_action_counts": over_retention("""SELECT retention_priority, recommended_action, count(*) AS customers

@@ -37,7 +37,7 @@ def over(body: str, **more: str) -> str:
 
 
 def metric(name: str, expr: str, source: str = "trend") -> str:
-    return f"SELECT '{name}' AS metric, round({expr}, 6) AS value FROM {source}"
+    return f"SELECT '{name}' AS metric, round({expr}, 4) AS value FROM {source}"
 
 
 REPORT = " UNION ALL ".join([
@@ -61,20 +61,20 @@ SQL = {
         f"SELECT '{f}' AS feature, count(*) AS rows, count(*) FILTER (WHERE {f} IS NULL) AS missing_or_non_numeric, "
         f"count(*) FILTER (WHERE {f} < 0) AS negative FROM model" for f in FEATURES)),
     "k3_8_regression_report": over(REPORT),
-    "k3_9_error_columns": over("""SELECT customer_unique_id, round(future_revenue, 6) AS future_revenue,
-        round(predicted_future_revenue, 6) AS predicted_future_revenue, round(error, 6) AS error,
-        round(absolute_error, 6) AS absolute_error, round(absolute_percentage_error, 6) AS absolute_percentage_error
+    "k3_9_error_columns": over("""SELECT customer_unique_id, round(future_revenue, 4) AS future_revenue,
+        round(predicted_future_revenue, 4) AS predicted_future_revenue, round(error, 4) AS error,
+        round(absolute_error, 4) AS absolute_error, round(absolute_percentage_error, 4) AS absolute_percentage_error
         FROM e""", e=ERRORS),
     "k3_9_error_profile": over("SELECT * REPLACE (round(min, 6) AS min, round(max, 6) AS max) FROM ("
         + profile("e", "future_revenue", "predicted_future_revenue", "error", "absolute_error") + ")", e=ERRORS),
     "k3_11_value_bands": over("""SELECT customer_unique_id, predicted_future_revenue, predicted_value_rank,
         predicted_value_band FROM b""", b=BAND),
     "k3_11_band_summary": over("""SELECT predicted_value_band, count(*) AS customers,
-        round(avg(predicted_future_revenue), 6) AS average_predicted_value,
-        round(sum(predicted_future_revenue), 6) AS total_predicted_value FROM b GROUP BY 1""", b=BAND),
+        round(avg(predicted_future_revenue), 4) AS average_predicted_value,
+        round(sum(predicted_future_revenue), 4) AS total_predicted_value FROM b GROUP BY 1""", b=BAND),
     "k3_12_calibration": over("""SELECT predicted_value_band, count(*) AS customers,
-        round(avg(future_revenue), 6) AS average_actual, round(avg(predicted_future_revenue), 6) AS average_predicted,
-        round(sum(future_revenue), 6) AS total_actual, round(sum(predicted_future_revenue), 6) AS total_predicted
+        round(avg(future_revenue), 4) AS average_actual, round(avg(predicted_future_revenue), 4) AS average_predicted,
+        round(sum(future_revenue), 4) AS total_actual, round(sum(predicted_future_revenue), 4) AS total_predicted
         FROM b GROUP BY 1""", b=BAND),
     "k3_13_fixed_bands": over("""SELECT CASE WHEN historical_revenue >= 100000 THEN 'Very High Value'
         WHEN historical_revenue >= 50000 THEN 'High Value' WHEN historical_revenue >= 20000 THEN 'Medium Value'
