@@ -7,14 +7,7 @@ from pyspark.sql import functions as F
 
 from martlight.functions.columns import days_between, money
 from martlight.operators.ordering import ordered_prefix, rank_first, top_k, top_n_per, ts_quantile
-from martlight.operators.pairs import (
-    baskets,
-    co_purchase_pairs,
-    jaccard,
-    nth_unseen,
-    product_frequency,
-    rankable_baskets,
-)
+from martlight.operators.pairs import baskets, nth_unseen, top_pairs
 from martlight.plans.facts import order_products, person_orders
 from martlight.plans.product import categories
 from martlight.session import stable
@@ -120,21 +113,15 @@ def preferred_categories(t: Marketplace, n: int = 5) -> DataFrame:
     )
 
 
-def _top_pairs(t: Marketplace, limit: int) -> DataFrame:
-    pairs = co_purchase_pairs(rankable_baskets(stable(baskets(t.order_items)), limit))
-    return top_k(pairs, [F.desc("co_purchase_orders"), F.col("product_a"), F.col("product_b")], limit)
-
-
 def co_purchases(t: Marketplace, limit: int = 100) -> DataFrame:
     """rq07"""
-    return _top_pairs(t, limit)
+    return top_pairs(stable(baskets(t.order_items)), limit).select("product_a", "product_b", "co_purchase_orders")
 
 
 def co_purchases_with_categories(t: Marketplace, limit: int = 100) -> DataFrame:
     """rq08: items of unknown products are left out before ranking, as the joins would."""
     known = t.order_items.join(t.products.select("product_id"), "product_id", "left_semi")
-    pairs = co_purchase_pairs(rankable_baskets(stable(baskets(known)), limit))
-    top = top_k(pairs, [F.desc("co_purchase_orders"), F.col("product_a"), F.col("product_b")], limit)
+    top = top_pairs(stable(baskets(known)), limit)
     names = t.products.select("product_id", "product_category_name")
     first = names.toDF("product_a", "product_a_category")
     second = names.toDF("product_b", "product_b_category")
@@ -245,17 +232,7 @@ def training_popularity(t: Marketplace, limit: int = 100) -> DataFrame:
 
 def pair_jaccard(t: Marketplace, limit: int = 100) -> DataFrame:
     """rq15: ranked by the unrounded similarity."""
-    basket = stable(baskets(t.order_items))
-    frequency = product_frequency(basket)
-    pairs = (
-        co_purchase_pairs(rankable_baskets(basket, limit))
-        .join(frequency.toDF("product_a", "product_a_orders"), "product_a")
-        .join(frequency.toDF("product_b", "product_b_orders"), "product_b")
-        .withColumn(
-            "similarity", jaccard(F.col("co_purchase_orders"), F.col("product_a_orders"), F.col("product_b_orders"))
-        )
-    )
-    top = top_k(pairs, [F.desc("similarity"), F.col("product_a"), F.col("product_b")], limit)
+    top = top_pairs(stable(baskets(t.order_items)), limit, "similarity")
     return top.select(
         "product_a",
         "product_b",

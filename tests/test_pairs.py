@@ -62,6 +62,19 @@ def test_class_trimming_keeps_the_top_pairs(items, lines, k):
     assert top(got, jac) == top(both, jac)
 
 
+@pytest.mark.parametrize("k", [3, 25, 400])
+@pytest.mark.parametrize("block", [4, 20, 1000])
+def test_top_pairs_equal_brute_force(items, lines, k, block):
+    _, both, single = brute(lines)
+
+    def jac(pair):
+        return both[pair] / (single[pair[0]] + single[pair[1]] - both[pair])
+
+    for by, rank in (("co_purchase_orders", both.get), ("similarity", jac)):
+        got = [(x["product_a"], x["product_b"]) for x in p.top_pairs(p.baskets(items), k, by, block).collect()]
+        assert got == sorted(both, key=lambda pair: (-rank(pair), pair))[:k]
+
+
 def test_nth_unseen(spark):
     rng = np.random.default_rng(8)
     order = list(rng.permutation(30))
