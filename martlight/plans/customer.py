@@ -20,7 +20,6 @@ from martlight.plans.facts import (
     order_review_counts,
     order_values,
     person_orders,
-    product_categories,
 )
 from martlight.session import stable
 from martlight.sources.tables import Marketplace

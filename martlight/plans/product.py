@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from martlight.functions.columns import count_where, exact_ratio, mean_days, micros_between, money, month_of, share_ratio
+from martlight.functions.columns import exact_ratio, mean_days, micros_between, money, month_of, share_ratio
 from martlight.operators.ordering import dense_rank_in, exact_quantiles, top_k
 from martlight.plans.facts import product_categories
 from martlight.sources.tables import Marketplace
