@@ -57,6 +57,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and every executor can reach, for tables between jobs."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder so that later reads see the same rows.
 
