@@ -63,14 +63,14 @@ def key_of(column: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(f"`{column}`").cast("string")), F.lit(""))
 
 
-def join_rates(big: DataFrame, small: DataFrame, key: str, small_rows: int, salts: int = 32) -> DataFrame:
-    """Inner join of ``big`` with one row per key.
+def join_rates(big: DataFrame, small: DataFrame, key: str, small_rows: int, salts: int = 32, how: str = "inner") -> DataFrame:
+    """Join of ``big`` with one row per key.
 
     Up to ``BROADCAST_ROWS`` keys the small side is sent to every task.  Beyond, it is repeated
     once per salt, so that a key with a third of all rows meets ``salts`` tasks instead of one.
     """
     if small_rows <= BROADCAST_ROWS:
-        return big.join(F.broadcast(small), key)
+        return big.join(F.broadcast(small), key, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns[:1], F.spark_partition_id()), F.lit(salts)).cast("int"))
-    return spread.join(salted, [key, "_salt"]).drop("_salt")
+    return spread.join(salted, [key, "_salt"], how).drop("_salt")
