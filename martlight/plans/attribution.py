@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Sequence
-from itertools import product as patterns_of
+from dataclasses import dataclass
+from functools import reduce
 from math import factorial
 
 import numpy as np
@@ -47,6 +48,8 @@ def tree_nodes(model: ValueModel, spark) -> pd.DataFrame:
         F.col("split.featureIndex").alias("feature"),
         F.get(F.col("split.leftCategoriesOrThreshold"), F.lit(0)).alias("threshold"),
     ).toPandas()
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
     nodes["weight"] = nodes["tree"].map(dict(enumerate(model.trees.treeWeights)))
     return nodes
 
@@ -75,43 +78,94 @@ def leaf_paths(nodes: pd.DataFrame) -> list[tuple]:
     return leaves
 
 
-def leaf_table(share: np.ndarray, value: float) -> np.ndarray:
-    """Contribution of each path feature for every pattern of satisfied features."""
-    size = len(share)
-    weights = [factorial(k) * factorial(size - 1 - k) / factorial(size) for k in range(size)]
-    table = np.zeros((2**size, size))
-    for pattern in patterns_of((0, 1), repeat=size):
-        row = sum(bit << i for i, bit in enumerate(pattern))
-        for j in range(size):
-            mixed = np.array([1.0])
-            for i in range(size):
-                if i != j:
-                    mixed = np.convolve(mixed, [share[i], pattern[i]])
-            table[row, j] = value * (pattern[j] - share[j]) * np.dot(weights, mixed)
-    return table
+def shapley(share: np.ndarray, satisfied: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Contribution of every path feature of leaves with paths of one length.
 
+    ``share`` and ``satisfied`` have the features on their last axis and are broadcast against each other; ``value``
+    lacks it.  Per feature, the polynomial over the others whose k-th coefficient sums the coalitions of size k is
+    built factor by factor, for all leaves and patterns at once.
+    """
+    size = share.shape[-1]
+    weights = np.array([factorial(k) * factorial(size - 1 - k) / factorial(size) for k in range(size)])
+    shape = np.broadcast_shapes(share.shape, satisfied.shape)
+    out = np.empty(shape)
+    for j in range(size):
+        mixed = np.zeros((*shape[:-1], size))
+        mixed[..., 0] = 1.0
+        for i in range(size):
+            if i != j:
+                grown = mixed * share[..., i, None]
+                grown[..., 1:] += mixed[..., :-1] * satisfied[..., i, None]
+                mixed = grown
+        out[..., j] = value * (satisfied[..., j] - share[..., j]) * (mixed @ weights)
+    return out
 
-def contributions(matrix: np.ndarray, leaves: list[tuple]) -> np.ndarray:
+
+@dataclass(frozen=True)
+class Leaves:
+    """Leaves with paths of one length: features, limits, shares (leaf x feature), values, and tables of contributions
+    (leaf x pattern x feature) where they are small enough to be made beforehand."""
+
+    names: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    share: np.ndarray
+    value: np.ndarray
+    table: np.ndarray | None
+
+
+#: Bytes of all tables together up to which they are made; beyond, contributions are computed per row.
+TABLE_BYTES = 256 << 20
+#: Numbers handled at once in a task.
+CHUNK = 1 << 20
+
+
+def group_leaves(paths: list[tuple], table_bytes: int = TABLE_BYTES) -> list[Leaves]:
+    by_size: dict[int, list[tuple]] = {}
+    for path in paths:
+        if path[0]:
+            by_size.setdefault(len(path[0]), []).append(path)
+    needed = sum(len(group) * 2**size * size * 8 for size, group in by_size.items())
+    found = []
+    for size, group in sorted(by_size.items()):
+        names, low, high, share = (np.array([p[i] for p in group]) for i in range(4))
+        value = np.array([p[4] for p in group], dtype=float)
+        table = None
+        if needed <= table_bytes:
+            patterns = (np.arange(2**size)[:, None] >> np.arange(size) & 1).astype(float)
+            table = shapley(share[:, None, :], patterns[None], value[:, None])
+        found.append(Leaves(names.astype(int), low, high, share, value, table))
+    return found
+
+
+def contributions(matrix: np.ndarray, groups: list[Leaves]) -> np.ndarray:
     """Row by feature contributions of one batch."""
     out = np.zeros(matrix.shape)
-    for names, low, high, bits, table in leaves:
-        values = matrix[:, names]
-        pattern = ((values > low) & (values <= high)) @ bits
-        out[:, names] += table[pattern]
+    for g in groups:
+        leaves, size = g.names.shape
+        place = np.zeros((leaves * size, matrix.shape[1]))
+        place[np.arange(leaves * size), g.names.ravel()] = 1.0
+        step = max(1, CHUNK // (leaves * size))
+        for at in range(0, len(matrix), step):
+            values = matrix[at : at + step][:, g.names]
+            inside = (values > g.low) & (values <= g.high)
+            if g.table is not None:
+                found = g.table[np.arange(leaves)[None], inside @ (1 << np.arange(size))]
+            else:
+                found = shapley(g.share[None], inside.astype(float), g.value[None])
+            out[at : at + step] += found.reshape(len(values), -1) @ place
     return out
 
 
 def attribute(model: ValueModel, df: DataFrame) -> DataFrame:
-    """Input columns plus ``shap_<feature>`` columns, ``base_value`` and ``model_output``."""
+    """Input columns plus ``shap_<feature>`` columns, ``base_value`` and ``model_output``.
+
+    What is sent to the executors depends on the model alone and is bounded by ``TABLE_BYTES``.
+    """
     spark = df.sparkSession
     paths = leaf_paths(tree_nodes(model, spark))
     base = float(sum(np.prod(share) * value for _, _, _, share, value in paths))
-    compact = [
-        (names, low, high, 1 << np.arange(len(names)), leaf_table(share, value))
-        for names, low, high, share, value in paths
-        if names
-    ]
-    shared = spark.sparkContext.broadcast(compact)
+    shared = spark.sparkContext.broadcast(group_leaves(paths))
     features = list(model.features)
     shap = [f"shap_{c}" for c in features]
 
@@ -136,9 +190,9 @@ def attribute(model: ValueModel, df: DataFrame) -> DataFrame:
 # ---- reports over attribution tables ----------------------------------------
 
 
-def attribution_wide(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
-    """The saved table: person, contributions, prediction and actual."""
-    return df.select(PERSON, *[f"shap_{c}" for c in features], PREDICTED, ACTUAL)
+def attribution_wide(df: DataFrame, features: Sequence[str] = FEATURES, extra: Sequence[str] = ()) -> DataFrame:
+    """The saved table: person, contributions, prediction and actual, and ``extra`` columns."""
+    return df.select(PERSON, *[f"shap_{c}" for c in features], PREDICTED, ACTUAL, *extra)
 
 
 def attribution_long(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
@@ -174,7 +228,7 @@ def attribution_summary(df: DataFrame, features: Sequence[str] = FEATURES) -> Da
 def global_importance(df: DataFrame, n: int = 10, features: Sequence[str] = FEATURES) -> DataFrame:
     """Features by mean absolute contribution."""
     if not 1 <= n <= 50:
-        raise ValueError("top_n must be between 1 and 50.")
+        raise ValueError("n counts features: 1 to 50")
     return attribution_summary(df, features).select("feature", "mean_abs_shap").limit(n)
 
 
@@ -188,7 +242,7 @@ def top_drivers(
     size.  Sorting happens inside the row, so there is no exchange.
     """
     if not 1 <= n <= 20:
-        raise ValueError("top_n must be between 1 and 20.")
+        raise ValueError("n counts drivers: 1 to 20")
 
     def listed(key, keep=None):
         entries = F.array(
@@ -220,7 +274,7 @@ def top_drivers(
 def inactive_high_value(df: DataFrame, n: int | None = 1, recency: str = "recency_days") -> DataFrame:
     """Rows at or above the 75th percentile of value and of recency, most valuable first."""
     if n is not None and not 1 <= n <= 500:
-        raise ValueError("limit must be between 1 and 500.")
+        raise ValueError("n counts persons: 1 to 500, or None for all")
     cuts = quantiles_of(df, {PREDICTED: {"value_cut": 0.75}, recency: {"recency_cut": 0.75}})
     value_cut, recency_cut = (cuts.select(name).scalar() for name in cuts.columns)
     found = df.where((F.col(PREDICTED) >= value_cut) & (F.col(recency) >= recency_cut))
@@ -256,11 +310,12 @@ def completeness(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame
 
 
 def attribution_query(t: Marketplace) -> DataFrame:
-    """k4_1, k4_2"""
+    """k4_1, k4_2: the saved table's persons; the contributions add up to the model's own output."""
     model, scored = fitted(t)
-    return attribute(model, scored).select(
-        PERSON, *[f"shap_{c}" for c in FEATURES], "base_value", "model_output", PREDICTED, ACTUAL
-    )
+    found = attribute(model, scored)
+    wide = attribution_wide(found.withColumn("gap", F.abs(F.col("model_output") - F.col("prediction"))), extra=["gap"])
+    complete = reduce(lambda a, b: a & b, (F.col(f"shap_{c}").isNotNull() for c in FEATURES))
+    return wide.select(PERSON, (complete & (F.col("gap") < 1e-8)).alias("additive"), ACTUAL)
 
 
 def with_step_attribution(t: Marketplace) -> DataFrame:

