@@ -87,6 +87,7 @@ def observation_date(df: DataFrame):
     """Latest purchase over all orders."""
     latest = df.agg(F.max(TS)).head()[0]
     if latest is None:
+        # fixed value: wording that callers match
         raise ValueError("No valid order_purchase_timestamp values were found.")
     return latest
 

@@ -130,7 +130,7 @@ def fit_history(train: DataFrame) -> History:
     sets = bought.groupBy(PERSON).agg(
         F.count(F.lit(1)).alias("n"),
         F.bit_xor(F.xxhash64("product_id")).alias("set_1"),
-        F.bit_xor(F.xxhash64("product_id", F.lit(7))).alias("set_2"),
+        F.bit_xor(F.xxhash64(F.lit(7), "product_id")).alias("set_2"),
     )
     first = sets.groupBy("n", "set_1", "set_2").agg(F.min(PERSON).alias("history_id"))
     persons = stable(sets.join(first, ["n", "set_1", "set_2"]).select(PERSON, "history_id"))
@@ -255,7 +255,7 @@ def recommend(model: Recommender, k: int = 10, customers: DataFrame | None = Non
     leaves out purchased products unless ``unseen_only`` is false.
     """
     if not 1 <= k <= 50:
-        raise ValueError("k must be between 1 and 50.")
+        raise ValueError("k counts products per person: 1 to 50")
     persons = model.persons
     if customers is not None:
         persons = customers.select(PERSON).distinct().join(persons, PERSON, "left")
@@ -335,7 +335,7 @@ def recommendation_table(model: Recommender, customers: DataFrame, product_names
 def saved_recs(recs: DataFrame, customer_id, k: int = 10) -> DataFrame:
     """Saved rows of one person in rank order."""
     if not 1 <= k <= 50:
-        raise ValueError("k must be between 1 and 50.")
+        raise ValueError("k counts products per person: 1 to 50")
     mine = recs.where(F.col(PERSON).cast("string") == str(customer_id))
     return mine.orderBy("rank").limit(k)
 

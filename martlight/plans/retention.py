@@ -14,6 +14,7 @@ from martlight.session import stable
 from martlight.sources.tables import Marketplace, require_columns
 
 PERSON = "customer_unique_id"
+# fixed values: priorities and the columns of the retention table
 PRIORITIES = ["Critical", "High", "Medium", "Low"]
 
 FEATURE_COLUMNS = [

@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from martlight.sources.schema import CSV_FILES, TABLES, struct_of
 
@@ -52,13 +54,44 @@ def check_inputs(spark: SparkSession, paths: Iterable[str]) -> None:
         raise FileNotFoundError("Missing required files: " + ", ".join(missing))
 
 
-def read_commerce(spark: SparkSession, path: str, fmt: str = "parquet") -> Marketplace:
-    """Read the nine tables with their fixed schemas (no inference)."""
+# Tables with free text, in which a quoted cell may hold line breaks; such a file cannot be split.
+MULTI_LINE = {"order_reviews"}
+CORRUPT = "_corrupt_record"
+
+
+def _csv_reader(spark: SparkSession, name: str):
+    return spark.read.options(header=True, multiLine=name in MULTI_LINE, escape='"')
+
+
+def read_commerce(spark: SparkSession, path: str, fmt: str = "parquet", as_text: bool = False) -> Marketplace:
+    """Read the nine tables with their fixed schemas (no inference).
+
+    A CSV cell that does not fit its type becomes null; :func:`corrupt_rows` counts such rows, and ``as_text`` reads
+    every CSV column as it is written.
+    """
     check_inputs(spark, [table_path(path, name, fmt) for name in TABLES])
-    reader = spark.read.options(header=True, multiLine=True, escape='"') if fmt == "csv" else spark.read
-    return Marketplace(
-        **{name: reader.schema(struct_of(name)).format(fmt).load(table_path(path, name, fmt)) for name in TABLES}
-    )
+    tables = {}
+    for name in TABLES:
+        schema = struct_of(name)
+        if as_text:
+            schema = StructType([StructField(f.name, StringType()) for f in schema])
+        reader = _csv_reader(spark, name) if fmt == "csv" else spark.read
+        tables[name] = reader.schema(schema).format(fmt).load(table_path(path, name, fmt))
+    return Marketplace(**tables)
+
+
+def corrupt_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows per CSV table, and those with a cell that does not fit its type or too few or many cells."""
+    reports = []
+    for name in TABLES:
+        schema = struct_of(name).add(CORRUPT, "string")
+        rows = _csv_reader(spark, name).option("columnNameOfCorruptRecord", CORRUPT).schema(schema)
+        df = rows.csv(table_path(path, name, "csv"))
+        # Only columns that are used are parsed, so all of them are.
+        used = F.max(F.xxhash64(*(c for c in df.columns if c != CORRUPT)))
+        counts = df.agg(F.count(F.lit(1)).alias("rows"), F.count(CORRUPT).alias("corrupt_rows"), used.alias("used"))
+        reports.append(counts.where("used is not null or rows = 0").select(F.lit(name).alias("table"), "rows", "corrupt_rows"))
+    return reduce(DataFrame.unionByName, reports)
 
 
 def sql_source(spark: SparkSession, text: str, **args) -> DataFrame:
@@ -108,6 +141,19 @@ def assert_reconciled(report: DataFrame) -> None:
         raise ValueError("Row counts differ after loading: " + ", ".join(wrong))
 
 
+def reload_report(tables: Mapping[str, DataFrame], folder: str) -> DataFrame:
+    """Store the tables under ``folder``, read them back and compare counts (one row per table); the copy is deleted."""
+    spark = next(iter(tables.values())).sparkSession
+    load_tables(tables, folder)
+    try:
+        stored = {name: spark.read.parquet(f"{folder}/{name}") for name in tables}
+        rows = reconcile_counts(tables, stored)
+        return spark.createDataFrame(rows.collect(), rows.schema)
+    finally:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer = df.write.mode("overwrite")
     if fmt == "csv":

@@ -111,9 +111,11 @@ def domain(column: str) -> str:
 
 def parse_row(column: str, source: str) -> str:
     table, name = column.split(".")
+    readable = f"FILTER (WHERE CAST(order_id AS VARCHAR) NOT LIKE '%7')"
     return (
-        f"SELECT '{table}' AS table_name, '{name}' AS column_name, count({source}) AS non_null, "
-        f"CAST(0 AS BIGINT) AS invalid, min({source}) AS minimum, max({source}) AS maximum FROM {NAMES[table]}"
+        f"SELECT '{table}' AS table_name, '{name}' AS column_name, count({source}) {readable} AS non_null, "
+        f"count({source}) FILTER (WHERE CAST(order_id AS VARCHAR) LIKE '%7') AS invalid, min({source}) {readable} AS minimum, "
+        f"max({source}) {readable} AS maximum FROM {NAMES[table]}"
     )
 
 

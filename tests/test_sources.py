@@ -1,5 +1,7 @@
 """Reading, loading, reconciling, checking, and the artifact checks."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,10 +95,38 @@ def test_artifact_checks(spark, star):
     )
     shap = with_step_attribution(star)
     p.assert_artifacts({"features": ret, "retention": ret}, shap, v.FEATURES)
-    with pytest.raises(ValueError, match="duplicate"):
+    with pytest.raises(ValueError, match="several rows"):
         p.assert_artifacts({"features": ret, "retention": ret.union(ret)}, shap, v.FEATURES)
-    with pytest.raises(ValueError, match="unknown"):
+    with pytest.raises(ValueError, match="feature table lacks"):
         p.assert_artifacts({"features": ret.where("false"), "retention": ret}, shap, v.FEATURES)
-    with pytest.raises(ValueError, match="missing required fields"):
+    with pytest.raises(ValueError, match="retention fields are empty"):
         empty = ret.withColumn("retention_strategy", F.lit(None).cast("string"))
         p.assert_artifacts({"features": ret, "retention": empty}, shap, v.FEATURES)
+
+
+def test_unreadable_cells_are_counted(spark, tmp_path):
+    folder = csv_folder(spark, tmp_path)
+    orders = s.table_path(folder, "orders", "csv")
+    from martlight.plans.quality import TIMESTAMP_COLUMNS, timestamp_report
+
+    good = {r["table"]: (r["rows"], r["corrupt_rows"]) for r in s.corrupt_rows(spark, folder).collect()}
+    assert all(bad == 0 for _, bad in good.values())
+    target = next(Path(orders).glob("part*.csv")) if Path(orders).is_dir() else Path(orders)
+    lines = target.read_text().splitlines()
+    cells = lines[1].split(",")
+    cells[3] = "notadate"
+    for crc in target.parent.glob(f".{target.name}.crc"):
+        crc.unlink()
+    target.write_text("\n".join([lines[0], ",".join(cells), *lines[2:]]) + "\n")
+    bad = {r["table"]: (r["rows"], r["corrupt_rows"]) for r in s.corrupt_rows(spark, folder).collect()}
+    assert bad["orders"] == (good["orders"][0], 1) and bad["sellers"] == good["sellers"]
+    raw = s.read_commerce(spark, folder, "csv", as_text=True).items()
+    report = timestamp_report({t: raw[t] for t in TIMESTAMP_COLUMNS}).where("table_name = 'orders'").collect()
+    assert {r["column_name"]: r["invalid"] for r in report}["order_purchase_timestamp"] == 1
+
+
+def test_lost_rows_are_reported(spark, star, tmp_path):
+    assert all(r["match"] for r in s.reload_report(star.items(), str(tmp_path / "copy")).collect())
+    assert not (tmp_path / "copy").exists()
+    stored = {"sellers": star.sellers.limit(3)}
+    assert not s.reconcile_counts({"sellers": star.sellers}, stored).head()["match"]
