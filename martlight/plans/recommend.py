@@ -169,9 +169,11 @@ def unpurchased_candidates(t: Marketplace, limit: int = 1000) -> DataFrame:
         .join(counts, PERSON, "left")
         .select(PERSON, (size - F.coalesce("seen", F.lit(0))).alias("unseen"))
     )
+    # Every person listed adds at least one row, so the first ``limit`` of them are enough.
+    persons = top_k(persons.where("unseen > 0"), [F.col(PERSON)], limit)
     before = F.col("running_unseen") - F.col("unseen")
     take = F.least(F.col("unseen"), F.lit(limit) - before)
-    shares = ordered_prefix(persons, [F.col(PERSON)], ["unseen"]).where((before < limit) & (F.col("unseen") > 0))
+    shares = ordered_prefix(persons, [F.col(PERSON)], ["unseen"]).where(before < limit)
     wanted = shares.select(PERSON, F.explode(F.sequence(F.lit(1).cast("long"), take)).alias("slot"))
     ranking = rank_first(catalogue, [F.col("product_id")], "place")
     history = bought.join(shares.select(PERSON), PERSON, "left_semi")

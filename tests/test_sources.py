@@ -111,7 +111,7 @@ def test_unreadable_cells_are_counted(spark, tmp_path):
 
     good = {r["table"]: (r["rows"], r["corrupt_rows"]) for r in s.corrupt_rows(spark, folder).collect()}
     assert all(bad == 0 for _, bad in good.values())
-    target = next(Path(orders).glob("part*.csv")) if Path(orders).is_dir() else Path(orders)
+    target = next(f for f in Path(orders).glob("part*.csv") if f.read_text().count("\n") > 1) if Path(orders).is_dir() else Path(orders)
     lines = target.read_text().splitlines()
     cells = lines[1].split(",")
     cells[3] = "notadate"
