@@ -1,7 +1,7 @@
 """Licence scans: TF-IDF cosine of headers and licence files to templates, inheritance along directories.
 
-Every line of every file is a possible header.  A line is compared with all templates as sparse vectors of terms; a file
-declares the licence of its best line.  A licence file, by its name or because half of its lines are licence text, gives
+Every line of every file is a possible header.  A line is compared with all templates as sparse vectors of terms, weighed
+by how many of the files hold them; a file declares the licence of its best line.  A licence file, by its name or because half of its lines are licence text, gives
 its licence to its directory, and files without a licence of their own take that of the nearest directory above.
 
 DataFrame functions only.
@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,67 +47,81 @@ TEMPLATES = (
 )
 #: Cosine from which a line states a template's licence.
 LEAST = 0.7
-#: Words of any text; they are the last to be taken as cues, since nearly every line has one.
-COMMON = frozenset("a all and any are by for form in into is of or that the this to under use with without work".split())
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$"
 TERM = "[a-z0-9]+"
 
 
-def _vectors() -> tuple[dict[str, float], float, list[dict[str, float]]]:
-    """Inverse document frequencies over the templates, that of any other term, and the templates as unit vectors."""
-    counts = [Counter(re.findall(TERM, text.lower())) for _, text in TEMPLATES]
-    found = Counter(t for c in counts for t in c)
-    idf = {t: math.log((1 + len(counts)) / (1 + n)) + 1 for t, n in sorted(found.items())}
-    units = []
-    for c in counts:
-        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))
-        units.append({t: n * idf[t] / norm for t, n in sorted(c.items())})
-    return idf, math.log(1 + len(counts)) + 1, units
+#: Terms of every template with their counts.
+COUNTS = [Counter(re.findall(TERM, text.lower())) for _, text in TEMPLATES]
+VOCABULARY = sorted({t for c in COUNTS for t in c})
 
 
-IDF, OTHER_IDF, UNITS = _vectors()
+@dataclass(frozen=True)
+class Weights:
+    """Inverse document frequencies of the templates' terms, that of any other term (their mean), and the templates as
+    unit vectors."""
 
+    idf: dict[str, float]
+    other: float
+    units: list[dict[str, float]]
 
-def _cues() -> list[str]:
-    """Terms of which a line needs one to come near any template.
+    @classmethod
+    def of(cls, n_files: int, found: dict[str, int]) -> Weights:
+        idf = {t: math.log((1 + n_files) / (1 + found.get(t, 0))) + 1 for t in VOCABULARY}
+        units = []
+        for c in COUNTS:
+            norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))
+            units.append({t: n * idf[t] / norm for t, n in sorted(c.items())})
+        return cls(idf, sum(idf.values()) / len(idf), units)
 
-    By the Cauchy-Schwarz inequality a line with none of them has at most the length of what the template keeps without
-    them as its cosine; terms are added until that is under ``LEAST`` for every template.  Nothing is lost by the test.
-    """
-    cues: set[str] = set()
-    for unit in UNITS:
-        for term in sorted(unit, key=lambda t: (t in COMMON, len(t) < 3, -unit[t], t)):
-            if math.sqrt(sum(w * w for t, w in unit.items() if t not in cues)) < LEAST - 0.01:
-                break
-            cues.add(term)
-    return sorted(cues)
+    def cues(self) -> list[str]:
+        """Terms of which a line needs one to come near any template, the rarest in the files.
+
+        By the Cauchy-Schwarz inequality a line with none of them has at most the length of what the template keeps
+        without them as its cosine; terms are added until that is under ``LEAST`` for every template.  Nothing is lost.
+        """
+        cues: set[str] = set()
+        for unit in self.units:
+            for term in sorted(unit, key=lambda t: (-self.idf[t], t)):
+                if math.sqrt(sum(w * w for t, w in unit.items() if t not in cues)) < LEAST - 0.01:
+                    break
+                cues.add(term)
+        return sorted(cues)
+
+    def cue_pattern(self) -> str:
+        return r"(?<![a-z0-9])(?:" + "|".join(self.cues()) + r")(?![a-z0-9])"
 
 
-CUE = r"(?<![a-z0-9])(?:" + "|".join(_cues()) + r")(?![a-z0-9])"
+def weigh(files: DataFrame) -> Weights:
+    """Count the files that hold each of the templates' terms; a few hundred counts reach the driver."""
+    words = F.split(F.lower("text"), "[^a-z0-9]+")
+    held = F.explode(F.array_intersect(words, F.array(*(F.lit(t) for t in VOCABULARY))))
+    counts = files.select(held.alias("term")).groupBy("term").count().collect()
+    return Weights.of(files.count(), {r["term"]: r["count"] for r in counts})
 
 
-def _template_terms(spark: SparkSession) -> DataFrame:
+def _template_terms(spark: SparkSession, weights: Weights) -> DataFrame:
     """``term, template, weight``: as many rows as the templates have terms."""
-    rows = [(t, i, IDF[t] * w) for i, unit in enumerate(UNITS) for t, w in unit.items()]
+    rows = [(t, i, weights.idf[t] * w) for i, unit in enumerate(weights.units) for t, w in unit.items()]
     return spark.createDataFrame(rows, "term string, template int, weight double")
 
 
-def headers(files: DataFrame) -> DataFrame:
+def headers(files: DataFrame, weights: Weights) -> DataFrame:
     """``id, path, line_no, template, cosine`` of the lines of ``files`` (id, path, text) near a template."""
-    spark = files.sparkSession
+    spark, cue = files.sparkSession, weights.cue_pattern()
     lines = (
-        files.where(F.lower("text").rlike(CUE))
+        files.where(F.lower("text").rlike(cue))
         .select("id", "path", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        .where(F.lower("line").rlike(CUE))
+        .where(F.lower("line").rlike(cue))
         .distinct()
     )
     terms = lines.select("id", "path", "line_no", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(TERM), 0)).alias("term"))
     counted = terms.groupBy("id", "path", "line_no", "term").agg(F.count("*").cast("double").alias("n"))
-    idf = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in IDF.items() for x in kv)), F.col("term")), F.lit(OTHER_IDF))
+    idf = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in weights.idf.items() for x in kv)), F.col("term")), F.lit(weights.other))
     key = ["id", "path", "line_no"]
     norms = counted.groupBy(*key).agg(F.sqrt(F.sum(F.pow(F.col("n") * idf, 2.0))).alias("norm"))
     # The templates' terms are a few hundred rows whatever the files.
-    dots = counted.join(F.broadcast(_template_terms(spark)), "term").groupBy(*key, "template").agg(F.sum(F.col("n") * F.col("weight")).alias("dot"))
+    dots = counted.join(F.broadcast(_template_terms(spark, weights)), "term").groupBy(*key, "template").agg(F.sum(F.col("n") * F.col("weight")).alias("dot"))
     same = (F.col("d.id").eqNullSafe(F.col("n.id")) & F.col("d.path").eqNullSafe(F.col("n.path")) & (F.col("d.line_no") == F.col("n.line_no")))
     near = dots.alias("d").join(norms.alias("n"), same).select("d.id", "d.path", "d.line_no", "template", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
     return near.where(F.col("cosine") >= LEAST)
@@ -127,7 +142,8 @@ def scan_licences(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "
     """
     own = columns_of(files, {"id": id_col, "path": path_col, "text": text_col})
     names = F.array(*(F.lit(n) for n, _ in TEMPLATES))
-    near = headers(own).withColumn("licence", F.element_at(names, F.col("template") + 1))
+    weights = weigh(own)
+    near = headers(own, weights).withColumn("licence", F.element_at(names, F.col("template") + 1))
     stated = stable(
         near.groupBy("id", "path").agg(
             F.max_by("licence", F.struct("cosine", -F.col("template"))).alias("licence"),
@@ -135,7 +151,7 @@ def scan_licences(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "
             F.countDistinct("line_no").alias("hits"),
         )
     )
-    sizes = own.where(F.lower("text").rlike(CUE)).select(
+    sizes = own.where(F.lower("text").rlike(weights.cue_pattern())).select(
         "id", "path", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("n_lines")
     ).groupBy("id", "path").agg(F.max("n_lines").alias("n_lines"))
     same = F.col("s.id").eqNullSafe(F.col("z.id")) & F.col("s.path").eqNullSafe(F.col("z.path"))
@@ -177,13 +193,21 @@ def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    idf = ", ".join(f"('{t}', {v!r}::DOUBLE)" for t, v in IDF.items())
-    terms = ", ".join(f"('{t}', {i}, {IDF[t] * w!r}::DOUBLE)" for i, unit in enumerate(UNITS) for t, w in unit.items())
+    counts = ", ".join(f"({i}, '{t}', {n})" for i, c in enumerate(COUNTS) for t, n in sorted(c.items()))
     names = ", ".join(f"({i}, '{n}')" for i, (n, _) in enumerate(TEMPLATES))
     return f"""
-    WITH idf(term, idf) AS (VALUES {idf}), weights(term, template, weight) AS (VALUES {terms}),
-    names(template, licence) AS (VALUES {names}),
-    files AS (
+    WITH templates(template, term, n) AS (VALUES {counts}), names(template, licence) AS (VALUES {names}),
+    held AS (
+        SELECT term, count(*) AS files FROM (
+            SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM documents)
+        GROUP BY 1
+    ), idf AS (
+        SELECT term, ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + coalesce(files, 0))) + 1 AS idf
+        FROM (SELECT DISTINCT term FROM templates) LEFT JOIN held USING (term)
+    ), weights AS (
+        SELECT template, term, idf * n * idf / sqrt(sum(pow(n * idf, 2)) OVER (PARTITION BY template)) AS weight
+        FROM templates JOIN idf USING (term)
+    ), files AS (
         SELECT doc_id, text, concat_ws('/', coalesce(source, 'unknown'), doc_id // 1000, doc_id // 10, doc_id) AS path FROM documents
     ), lines AS (
         SELECT doc_id, path, unnest(string_split(text, chr(10))) AS line,
@@ -193,7 +217,7 @@ def _oracle() -> str:
     ), counted AS (
         SELECT doc_id, path, line_no, term, count(*)::DOUBLE AS n FROM terms GROUP BY ALL
     ), norms AS (
-        SELECT doc_id, path, line_no, sqrt(sum(pow(n * coalesce(idf, {OTHER_IDF!r}::DOUBLE), 2))) AS norm
+        SELECT doc_id, path, line_no, sqrt(sum(pow(n * coalesce(idf, (SELECT avg(idf) FROM idf)), 2))) AS norm
         FROM counted LEFT JOIN idf USING (term) GROUP BY ALL
     ), dots AS (
         SELECT doc_id, path, line_no, template, sum(n * weight) AS dot FROM counted JOIN weights USING (term) GROUP BY ALL

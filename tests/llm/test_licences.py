@@ -22,9 +22,16 @@ def test_plan_is_native(spark):
 
 
 def test_lines_without_a_cue_cannot_reach_the_limit():
-    cues = set(licences._cues())
-    for unit in licences.UNITS:
-        assert math.sqrt(sum(w * w for t, w in unit.items() if t not in cues)) < licences.LEAST
+    for found in ({}, {"mit": 900, "the": 990, "license": 3}, dict.fromkeys(licences.VOCABULARY, 1000)):
+        weights = licences.Weights.of(1000, found)
+        cues = set(weights.cues())
+        for unit in weights.units:
+            assert math.sqrt(sum(w * w for t, w in unit.items() if t not in cues)) < licences.LEAST
+
+
+def test_common_words_are_no_cues(spark):
+    weights = licences.weigh(spark.read.parquet(f"{SF}/documents.parquet").select("text"))
+    assert not {"mit", "the", "are", "and", "this", "by"} & set(weights.cues())
 
 
 def test_every_template_states_its_own_licence(spark):
