@@ -253,10 +253,24 @@ def rfm_by_cluster_query(t: Marketplace) -> DataFrame:
     return rfm_by_cluster(with_rule_clusters(t))
 
 
+#: The last fitted segments by session and input.
+_FITTED: dict[tuple, tuple[SegmentModel, DataFrame]] = {}
+
+
+def fitted_segments(t: Marketplace, **options) -> tuple[SegmentModel, DataFrame]:
+    """Fitted segments and the features they rest on, once per session, input and options."""
+    session = t.orders.sparkSession
+    key = (session.sparkContext.applicationId, t.orders.semanticHash(), t.order_items.semanticHash(), t.customers.semanticHash(), *options.items())
+    if key not in _FITTED:
+        features = stable(features_table(t))
+        _FITTED.clear()
+        _FITTED[key] = fit_segments(features, **options), features
+    return _FITTED[key]
+
+
 def segments_query(t: Marketplace) -> DataFrame:
     """k2_4, k2_5: persons of the fitted segments; each is in the cluster of the nearest stored centre."""
-    features = stable(features_table(t))
-    model = fit_segments(features)
+    model, features = fitted_segments(t)
     scaled = model.scaler.transform(cluster_matrix(features))
     centres = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in model.clusters.clusterCenters()))
     apart = F.transform(

@@ -75,6 +75,31 @@ def test_top_pairs_equal_brute_force(items, lines, k, block):
         assert got == sorted(both, key=lambda pair: (-rank(pair), pair))[:k]
 
 
+@pytest.mark.parametrize("by", ["co_purchase_orders", "similarity"])
+def test_huge_order_with_different_order_sets_is_not_paired_up(spark, by, monkeypatch):
+    n = 600
+    lines = [(0, x) for x in range(n)] + [(1 + x, x) for x in range(n) for _ in range(1)] + [(1 + n + x // 2, x) for x in range(40)]
+    lines += [(5000 + x, x) for x in range(0, n, 3)]
+    built = []
+    original = p.fresh_pairs
+
+    def counted(*args):
+        out = original(*args)
+        built.append(out.count())
+        return out
+
+    monkeypatch.setattr(p, "fresh_pairs", counted)
+    basket = p.baskets(spark.createDataFrame(lines, "order_id long, product_id long"))
+    got = [(x["product_a"], x["product_b"]) for x in p.top_pairs(basket, 30, by, 100).collect()]
+    _, both, single = brute(lines)
+
+    def rank(pair):
+        return both[pair] if by == "co_purchase_orders" else both[pair] / (single[pair[0]] + single[pair[1]] - both[pair])
+
+    assert got == sorted(both, key=lambda pair: (-rank(pair), pair))[:30]
+    assert built[0] < n * n / 2 / 8
+
+
 def test_nth_unseen(spark):
     rng = np.random.default_rng(8)
     order = list(rng.permutation(30))
