@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlight.llm.base import columns_of, map_slices, table
+from martlight.session import stable
 
 PIECE = 32
 HIDDEN = 16
@@ -226,8 +227,9 @@ def label_spans(model: ByteGRU, text: str) -> list[tuple[int, int, str]]:
 
 def sample_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                  docs_per_lang: int = 600, max_words: int = 50_000) -> tuple[list[bytes], list[str]]:
-    """Words and labels to learn from: about ``docs_per_lang`` documents of each language by a hash of their id, and at
-    most ``max_words`` of their words by a hash.  Both bounds hold whatever the size of ``docs``."""
+    """Words and labels to learn from: about ``docs_per_lang`` documents of each language by a hash of their id, and
+    about ``max_words`` of their words by a hash; never more than twice as many reach the driver.  Both bounds hold
+    whatever the size of ``docs``, and rows are picked where they lie, without an order over all."""
     own = columns_of(docs, {"doc_id": id_col, "text": text_col, "lang": lang_col}).where("text is not null and lang is not null")
     counts = own.groupBy("lang").count().collect()
     if not counts:
@@ -235,8 +237,12 @@ def sample_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).cast("double") / 1_000_000
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, docs_per_lang / r["count"]))))
     few = own.where(place < F.try_element_at(share, F.col("lang")))
-    words = few.select("doc_id", "lang", F.posexplode(F.split("text", r"[\x20\x09-\x0d]+")).alias("at", "word")).where("word <> ''")
-    rows = words.orderBy(F.xxhash64("doc_id", "at", F.lit(7)), "doc_id", "at").limit(max_words).select("word", "lang").collect()
+    words = stable(
+        few.select("doc_id", "lang", F.posexplode(F.split("text", r"[\x20\x09-\x0d]+")).alias("at", "word")).where("word <> ''")
+    )
+    spot = F.pmod(F.xxhash64("doc_id", "at", F.lit(7)), F.lit(1_000_000)).cast("double") / 1_000_000
+    picked = words.where(spot < min(1.0, max_words / max(1, words.count()))).limit(2 * max_words)
+    rows = sorted(picked.select("doc_id", "at", "word", "lang").collect(), key=lambda r: (r["doc_id"] or 0, r["at"], r["word"]))
     pairs = [(p, r["lang"]) for r in rows for p in words_of(r["word"])]
     return [p for p, _ in pairs], [lang for _, lang in pairs]
 
