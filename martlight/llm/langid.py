@@ -26,7 +26,7 @@ HIDDEN = 16
 WORDS = 200_000
 #: Words of one length run through the network together.
 ROWS = 1024
-LETTER = re.compile(r"[^\W\d_]")
+PLAIN_LETTER = re.compile(r"[A-Za-z]")
 UNDETERMINED = "und"
 
 
@@ -38,6 +38,10 @@ def words_of(text: str) -> list[bytes]:
     return words
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and (PLAIN_LETTER.search(text) is not None or any(map(str.isalpha, text)))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -187,7 +191,7 @@ class WordScores:
 
     def documents(self, texts: Sequence[str | None]) -> list[tuple[str, float]]:
         """Language and pooled probability of each text."""
-        lists = [words_of(t) if t and LETTER.search(t) else [] for t in texts]
+        lists = [words_of(t) if has_letter(t) else [] for t in texts]
         rows = self.rows([w for ws in lists for w in ws])
         out, at = [], 0
         for words in lists:

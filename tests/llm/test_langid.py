@@ -77,6 +77,11 @@ def test_odd_rows(spark, documents, odd_rows, model):
     assert langid.identify(documents([]), model).count() == 0
 
 
+def test_letters():
+    assert all(map(langid.has_letter, ("a", "12 é", "\u00aa", "漢")))
+    assert not any(map(langid.has_letter, (None, "", "12 ##", "\u00b2 \u2167", "_")))
+
+
 def test_nothing_to_learn_from(spark, documents):
     empty = documents([(1, "some text")]).withColumn("lang", F.lit(None).cast("string"))
     model = langid.fit(empty)
