@@ -1,4 +1,6 @@
+import base64
 import random
+import string
 
 from martlight.llm import quality
 
@@ -57,3 +59,27 @@ def test_odd_rows(spark, documents, odd_rows):
     assert len(rows) == len(odd_rows)
     assert all(r["base_failed"] and not r["kept"] and r["n_words"] == 0 for r in rows if r["doc_id"] in (1, 2, 3))
     assert quality.quality_rules(documents([])).count() == 0
+
+
+def test_random_ascii_of_every_length_goes(spark, documents):
+    rng = random.Random(4)
+    mixed = string.ascii_letters + string.digits
+
+    def lines(text):
+        return "\n".join(text[i : i + 76] for i in range(0, len(text), 76))
+
+    texts = [lines(base64.b64encode(rng.randbytes(n)).decode()) for n in (750, 2500, 9000, 45_000, 450_000)]
+    texts += [lines("".join(rng.choices(mixed, k=n))) for n in (1000, 3000, 12_000, 60_000, 600_000)]
+    texts += [" ".join("".join(rng.choices(mixed, k=rng.randint(2, 10))) for _ in range(n)) for n in (60, 100, 400, 2000, 20_000)]
+    letters = string.ascii_lowercase
+    texts += [" ".join("".join(rng.choices(letters, k=rng.randint(2, 10))) for _ in range(n)) for n in (280, 500, 2000, 20_000)]
+    texts += [" ".join(rng.randbytes(8).hex() for _ in range(n)) for n in (300, 2000, 20_000)]
+    rows = quality.quality_rules(documents(list(enumerate(texts)))).collect()
+    assert [r["doc_id"] for r in rows if r["base_failed"] or r["kept"]] == []
+    assert all(r["bad_chunks"] >= 0.5 for r in rows if len(texts[r["doc_id"]]) > quality.CHUNK * 2)
+
+
+def test_no_clean_document_is_under_its_limit(spark):
+    rows = quality.op3_compression_quality(spark, "/root/testdata/sf0.1").where("n_words >= 10")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").selectExpr("doc_id", "octet_length(text) AS size")
+    assert [r for r in rows.join(docs, "doc_id").collect() if r["ratio"] < quality.band(r["size"])[0]] == []
