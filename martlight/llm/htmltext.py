@@ -42,6 +42,10 @@ OUTSIDE_NAMES = frozenset(
     " social related recommended newsletter subscribe subscription signup login widget pagination pager copyright"
     " legal disclaimer contentinfo complementary search".split()
 )
+#: Parts before a name that make it the property of a wrapper.
+NEGATIONS = frozenset("has have no not with without hide show".split())
+#: Last parts that leave the name before them what it is: ``comments-area``, ``ad-slot``.
+PLACES = frozenset("area box slot unit buttons links".split())
 BLOCKS = frozenset(
     "html body p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr td th caption section article main"
     " header footer nav aside form blockquote pre hr address figure figcaption details summary fieldset center title".split()
@@ -75,23 +79,34 @@ class Block:
     heading: bool = False
     article: int = 0  # number of the article it stands in, 0: none
     outside: bool = False
+    doubtful: int = 0  # number of an article inside an element that only its name puts outside
     text: str = ""
     good: bool | None = None
 
 
-def _names_outside(attributes: str) -> bool:
+def _names_outside(attributes: str) -> int:
+    """2: hidden, 1: by a name, 0: not outside."""
     if not attributes or attributes.isspace():
-        return False
+        return 0
     if HIDDEN.search(attributes):
-        return True
-    names = " ".join("".join(m) for m in NAMES.findall(attributes)).lower()
-    return bool(names) and not OUTSIDE_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", names))
+        return 2
+    return int(any(_names_itself(name) for m in NAMES.findall(attributes) for name in "".join(m).lower().split()))
+
+
+def _names_itself(name: str) -> bool:
+    """Whether a class, id or role says what the element is, by its last part: ``site-header``, ``cookie_notice``;
+    ``has-sidebar`` and ``post-with-comments`` say what stands in or beside it, ``search-results`` what was found."""
+    parts = re.findall(r"[a-z0-9]+", name)
+    if len(parts) > 1 and parts[-1] in PLACES:
+        parts.pop()
+    return bool(parts) and parts[-1] in OUTSIDE_NAMES and NEGATIONS.isdisjoint(parts[:-1])
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks of text in page order; comments, scripts and styles are gone, character references are decoded."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # element, stands outside an article, number of the article
+    # Element, stands outside an article (1: by a name, 2: by an element), number of the article, of a doubtful one.
+    stack: list[tuple[str, int, int, int]] = []
     articles, links = 0, 0
     current = Block()
 
@@ -101,7 +116,8 @@ def blocks_of(page: str) -> list[Block]:
             current.text = SPACE.sub(" ", html.unescape("".join(current.parts))).strip()
             if current.text:
                 found.append(current)
-        current = Block(outside=bool(stack) and stack[-1][1], article=stack[-1][2] if stack else 0)
+        outside, article, doubtful = stack[-1][1:] if stack else (0, 0, 0)
+        current = Block(outside=bool(outside), article=article, doubtful=doubtful)
 
     def add(text: str) -> None:
         if text:
@@ -148,15 +164,18 @@ def blocks_of(page: str) -> list[Block]:
                         stack.pop()  # never closed: an article does not begin inside a menu
                 elif name in ("body", "footer") and stack:
                     stack[:] = [s for s in stack if s[0] not in ("head", "nav", "p", "span")]
-                outside, article = stack[-1][1:] if stack else (False, 0)
+                outside, article, doubtful = stack[-1][1:] if stack else (0, 0, 0)
                 if name in ARTICLES:
-                    if not article and not outside:
+                    if not article and not doubtful and outside < 2:
                         articles += 1
-                        article = articles
-                elif name not in ("html", "body"):
-                    outside = outside or name in OUTSIDE or _names_outside(attributes)
-                stack.append((name, outside, article))
-            if name in BLOCKS or name in OUTSIDE or (stack and stack[-1][1] != current.outside):
+                        if not outside or name == "main":
+                            outside, article = 0, articles
+                        else:
+                            doubtful = articles
+                elif name not in ("html", "body") and (own := 2 if name in OUTSIDE else _names_outside(attributes)):
+                    outside, doubtful = max(outside, own), 0
+                stack.append((name, outside, article, doubtful))
+            if name in BLOCKS or name in OUTSIDE or (stack and (bool(stack[-1][1]), stack[-1][3]) != (current.outside, current.doubtful)):
                 close()
         if name in HEADINGS and not closing:
             current.heading = True
@@ -218,9 +237,16 @@ def inherit(blocks: list[Block]) -> None:
 
 
 def main_text(page: str | None) -> str:
-    """Blocks of the article, joined by an empty line; the empty text if there are none."""
+    """Blocks of the article, joined by an empty line; the empty text if there are none.
+
+    An article inside an element that only its name puts outside counts where nothing else on the page does.
+    """
     blocks = blocks_of(page or "")
     decide(blocks)
+    if any(b.doubtful for b in blocks) and not any(b.good or b.article for b in blocks):
+        for b in blocks:
+            b.outside, b.article, b.good = b.outside and not b.doubtful, b.doubtful, None
+        decide(blocks)
     inherit(blocks)
     return "\n\n".join(b.text for b in blocks if b.good)
 

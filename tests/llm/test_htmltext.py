@@ -63,3 +63,32 @@ def test_odd_rows(spark):
     rows = htmltext.extract(pages).collect()
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in rows) == [(0, LONG, len(LONG)), (1, "", 0), (1, "", 0)]
     assert htmltext.extract(pages.limit(0)).count() == 0
+
+
+OTHER = "That is what somebody else wrote below it, and it is as long as the text that it was written to be under."
+
+
+@pytest.mark.parametrize("names", ["class='layout has-sidebar'", "class='content no-sidebar'", "class='post with-comments'", "id='search-results'",
+                                   "class='page--with-sidebar'", "class='ad-free'", "id=header-image-page"])
+def test_wrappers_named_after_what_they_hold_stay(names):
+    assert htmltext.main_text(f"<div {names}><p>{LONG}</p><div class='sidebar'>{OTHER}</div></div>") == LONG
+    assert htmltext.main_text(f"<div {names}><article><p>{LONG}</p></article></div>") == LONG
+
+
+@pytest.mark.parametrize("names", ["class=sidebar", "class='x site-header'", "id=cookie-notice", "class=comments-area", "class=ad-slot", "role=search"])
+def test_elements_of_these_names_go(names):
+    assert htmltext.main_text(f"<p>{LONG}</p><div {names}><p>{OTHER}</p></div>") == LONG
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div class='layout sidebar'><main><p>{LONG}</p><aside>{OTHER}</aside></main></div><div>{OTHER}</div>", LONG),
+        (f"<div class='menu'><article><p>{LONG}</p><div class=ad>{OTHER}</div><span class=promo>{OTHER}</span></article></div><div>End</div>", LONG),
+        (f"<p>{LONG}</p><div class='comments'><article><p>{OTHER}</p></article></div>", LONG),
+        (f"<article><p>{LONG}</p></article><div class='related'><article><p>{OTHER}</p></article></div>", LONG),
+        (f"<div hidden><main><p>{OTHER}</p></main></div><p>{LONG}</p>", LONG),
+    ],
+)
+def test_articles_inside_named_wrappers(page, want):
+    assert htmltext.main_text(page) == want
