@@ -1,8 +1,11 @@
 """Licence scans: TF-IDF cosine of headers and licence files to templates, inheritance along directories.
 
-Every line of every file is a possible header.  A line is compared with all templates as sparse vectors of terms, weighed
-by how many of the files hold them; a file declares the licence of its best line.  A licence file, by its name or because half of its lines are licence text, gives
-its licence to its directory, and files without a licence of their own take that of the nearest directory above.
+Every line of every file is a possible header, and so are up to ``WINDOW`` adjacent lines and the sentences of its
+paragraphs.  They are compared with all templates as sparse vectors of terms, weighed by how many of the files hold them;
+a file declares the licence of its best one.  Files named or declared as licences are also compared as a whole with whole
+licence texts, which then decide.  A licence file, by its name, because half of its lines are licence text or because it
+is a whole one, gives its licence to its directory, and files without a licence of their own take that of the nearest
+directory above.
 
 DataFrame functions only.
 """
@@ -18,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from martlight.llm.base import columns_of, join_rates, table
+from martlight.llm.licence_texts import TEXTS
 from martlight.session import stable
 
 # Licences by their SPDX name, with the words files state them in.
@@ -45,6 +49,47 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+_PUBLISHED = "as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} License " + _PUBLISHED
+_IDENTIFIERS = (
+    ("AGPL-3.0", "AGPL-3.0-only AGPL-3.0-or-later"), ("Apache-2.0", "Apache-2.0"), ("BSD-2-Clause", "BSD-2-Clause"),
+    ("BSD-3-Clause", "BSD-3-Clause"), ("CC-BY-4.0", "CC-BY-4.0"), ("CC-BY-NC-4.0", "CC-BY-NC-4.0"),
+    ("CC-BY-NC-SA-4.0", "CC-BY-NC-SA-4.0"), ("CC-BY-ND-4.0", "CC-BY-ND-4.0"), ("CC-BY-SA-4.0", "CC-BY-SA-4.0"),
+    ("CC0-1.0", "CC0-1.0"), ("GPL-2.0", "GPL-2.0 GPL-2.0-only GPL-2.0-or-later"), ("GPL-3.0", "GPL-3.0 GPL-3.0-only GPL-3.0-or-later"),
+    ("ISC", "ISC"), ("LGPL-2.1", "LGPL-2.1-only LGPL-2.1-or-later"), ("LGPL-3.0", "LGPL-3.0-only LGPL-3.0-or-later"),
+    ("MIT", "MIT"), ("MPL-2.0", "MPL-2.0"), ("Unlicense", "Unlicense"),
+)
+#: Standard notices, headings and identifiers, compared with windows and sentences besides the templates.
+NOTICES = TEMPLATES + (
+    ("AGPL-3.0", _GNU.format("Affero General Public", 3)),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "Apache License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("GPL-2.0", _GNU.format("General Public", 2)),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0", _GNU.format("General Public", 3)),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-3.0", "GNU General Public License"),
+    ("ISC", "ISC License"),
+    ("LGPL-2.1", _GNU.format("Lesser General Public", "2.1")),
+    ("LGPL-3.0", _GNU.format("Lesser General Public", 3)),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("MIT", "MIT License"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+) + tuple((name, f"SPDX-License-Identifier: {i}") for name, ids in _IDENTIFIERS for i in ids.split())
+#: Adjacent lines compared together.
+WINDOW = 5
+#: Comment marks at the begin of a line, the space between paragraphs, and the ends of sentences.
+MARK = r"(?m)^[ \t]*(?://+|/\*+|\*+/?|#+|;+|--+|%+|<!--)?[ \t]*"
+PARAGRAPH = r"\r?\n(?:[ \t]*\r?\n)+"
+SENTENCE = r"(?<=[.!?])\s+(?=[\"(\[]?[A-Z])|(?<=;)\s+"
+#: Cosine from which a whole file is a whole licence text.
+LEAST_FILE = 0.8
 #: Cosine from which a line states a template's licence.
 LEAST = 0.7
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$"
@@ -54,6 +99,9 @@ TERM = "[a-z0-9]+"
 #: Terms of every template with their counts.
 COUNTS = [Counter(re.findall(TERM, text.lower())) for _, text in TEMPLATES]
 VOCABULARY = sorted({t for c in COUNTS for t in c})
+NOTICE_COUNTS = [Counter(re.findall(TERM, text.lower())) for _, text in NOTICES]
+TEXT_COUNTS = [Counter({t: int(n) for t, n in (x.split(":") for x in terms.split())}) for _, terms in TEXTS]
+ALL_TERMS = sorted({t for c in (*NOTICE_COUNTS, *TEXT_COUNTS) for t in c})
 
 
 @dataclass(frozen=True)
@@ -66,10 +114,10 @@ class Weights:
     units: list[dict[str, float]]
 
     @classmethod
-    def of(cls, n_files: int, found: dict[str, int]) -> Weights:
-        idf = {t: math.log((1 + n_files) / (1 + found.get(t, 0))) + 1 for t in VOCABULARY}
+    def of(cls, n_files: int, found: dict[str, int], templates: list[Counter] = COUNTS) -> Weights:
+        idf = {t: math.log((1 + n_files) / (1 + found.get(t, 0))) + 1 for t in sorted({t for c in templates for t in c})}
         units = []
-        for c in COUNTS:
+        for c in templates:
             norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))
             units.append({t: n * idf[t] / norm for t, n in sorted(c.items())})
         return cls(idf, sum(idf.values()) / len(idf), units)
@@ -92,12 +140,16 @@ class Weights:
         return r"(?<![a-z0-9])(?:" + "|".join(self.cues()) + r")(?![a-z0-9])"
 
 
-def weigh(files: DataFrame) -> Weights:
-    """Count the files that hold each of the templates' terms; a few hundred counts reach the driver."""
+def _held(files: DataFrame) -> tuple[int, dict[str, int]]:
+    """Count the files, and those that hold each of the templates' terms; a thousand counts reach the driver."""
     words = F.split(F.lower("text"), "[^a-z0-9]+")
-    held = F.explode(F.array_intersect(words, F.array(*(F.lit(t) for t in VOCABULARY))))
+    held = F.explode(F.array_intersect(words, F.array(*(F.lit(t) for t in ALL_TERMS))))
     counts = files.select(held.alias("term")).groupBy("term").count().collect()
-    return Weights.of(files.count(), {r["term"]: r["count"] for r in counts})
+    return files.count(), {r["term"]: r["count"] for r in counts}
+
+
+def weigh(files: DataFrame) -> Weights:
+    return Weights.of(*_held(files))
 
 
 def _template_terms(spark: SparkSession, weights: Weights) -> DataFrame:
@@ -106,25 +158,59 @@ def _template_terms(spark: SparkSession, weights: Weights) -> DataFrame:
     return spark.createDataFrame(rows, "term string, template int, weight double")
 
 
+def _near(units: DataFrame, weights: Weights, least: float) -> DataFrame:
+    """``id, path, line_no, template, cosine`` of the ``units`` (id, path, line_no, line) near a template."""
+    spark, key = units.sparkSession, ["id", "path", "line_no"]
+    terms = units.select(*key, F.explode(F.regexp_extract_all(F.lower("line"), F.lit(TERM), 0)).alias("term"))
+    counted = terms.groupBy(*key, "term").agg(F.count("*").cast("double").alias("n"))
+    # The templates' terms are a few thousand rows whatever the files.
+    known = F.broadcast(spark.createDataFrame(list(weights.idf.items()), "term string, idf double"))
+    idf = F.coalesce("idf", F.lit(weights.other))
+    norms = counted.join(known, "term", "left").groupBy(*key).agg(F.sqrt(F.sum(F.pow(F.col("n") * idf, 2.0))).alias("norm"))
+    dots = counted.join(F.broadcast(_template_terms(spark, weights)), "term").groupBy(*key, "template").agg(F.sum(F.col("n") * F.col("weight")).alias("dot"))
+    same = (F.col("d.id").eqNullSafe(F.col("n.id")) & F.col("d.path").eqNullSafe(F.col("n.path")) & (F.col("d.line_no") == F.col("n.line_no")))
+    near = dots.alias("d").join(norms.alias("n"), same).select("d.id", "d.path", "d.line_no", "template", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
+    return near.where(F.col("cosine") >= least)
+
+
 def headers(files: DataFrame, weights: Weights) -> DataFrame:
     """``id, path, line_no, template, cosine`` of the lines of ``files`` (id, path, text) near a template."""
-    spark, cue = files.sparkSession, weights.cue_pattern()
+    cue = weights.cue_pattern()
     lines = (
         files.where(F.lower("text").rlike(cue))
         .select("id", "path", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
         .where(F.lower("line").rlike(cue))
         .distinct()
     )
-    terms = lines.select("id", "path", "line_no", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(TERM), 0)).alias("term"))
-    counted = terms.groupBy("id", "path", "line_no", "term").agg(F.count("*").cast("double").alias("n"))
-    idf = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in weights.idf.items() for x in kv)), F.col("term")), F.lit(weights.other))
-    key = ["id", "path", "line_no"]
-    norms = counted.groupBy(*key).agg(F.sqrt(F.sum(F.pow(F.col("n") * idf, 2.0))).alias("norm"))
-    # The templates' terms are a few hundred rows whatever the files.
-    dots = counted.join(F.broadcast(_template_terms(spark, weights)), "term").groupBy(*key, "template").agg(F.sum(F.col("n") * F.col("weight")).alias("dot"))
-    same = (F.col("d.id").eqNullSafe(F.col("n.id")) & F.col("d.path").eqNullSafe(F.col("n.path")) & (F.col("d.line_no") == F.col("n.line_no")))
-    near = dots.alias("d").join(norms.alias("n"), same).select("d.id", "d.path", "d.line_no", "template", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
-    return near.where(F.col("cosine") >= LEAST)
+    return _near(lines, weights, LEAST)
+
+
+def notices(files: DataFrame, weights: Weights) -> DataFrame:
+    """As :func:`headers`, of windows of adjacent lines and of sentences near a notice; ``line_no`` is a hash."""
+    cue = weights.cue_pattern()
+    bare = F.regexp_replace("text", MARK, "")
+    lines = F.filter(F.split(bare, "\n"), lambda x: F.trim(x) != "")
+    sentences = F.flatten(
+        F.transform(F.split(bare, PARAGRAPH), lambda p: F.split(F.regexp_replace(p, r"\s+", " "), SENTENCE))
+    )
+    windows = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.lit(WINDOW)),
+            lambda w: F.transform(
+                F.filter(F.sequence(F.lit(1), F.greatest(F.size("lines"), F.lit(1))), lambda i: i + w - 1 <= F.size("lines")),
+                lambda i: F.array_join(F.slice("lines", i, w), " "),
+            ),
+        )
+    )
+    units = (
+        files.where(F.lower("text").rlike(cue))
+        .select("id", "path", lines.alias("lines"), sentences.alias("sentences"))
+        .select("id", "path", F.explode(F.concat(windows, "sentences")).alias("line"))
+        .where(F.lower("line").rlike(cue))
+        .withColumn("line_no", F.xxhash64("line"))
+        .distinct()
+    )
+    return _near(units, weights, LEAST)
 
 
 def _directory(path: Column) -> Column:
@@ -141,23 +227,37 @@ def scan_licences(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "
     repeat no file; a directory that holds a third of the files is joined by :func:`join_rates`.
     """
     own = columns_of(files, {"id": id_col, "path": path_col, "text": text_col})
-    names = F.array(*(F.lit(n) for n, _ in TEMPLATES))
-    weights = weigh(own)
-    near = headers(own, weights).withColumn("licence", F.element_at(names, F.col("template") + 1))
+    held = _held(own)
+    weights = Weights.of(*held)
+
+    def named(near: DataFrame, templates: tuple, kind: int) -> DataFrame:
+        names = F.array(*(F.lit(n) for n, _ in templates))
+        return near.withColumn("licence", F.element_at(names, F.col("template") + 1)).withColumn("kind", F.lit(kind))
+
+    # Kind 1: lines, 0: windows and sentences, 2: whole files, which decide where there are any.
+    parts = named(headers(own, weights), TEMPLATES, 1).unionByName(named(notices(own, Weights.of(*held, NOTICE_COUNTS)), NOTICES, 0))
+    parts = stable(parts)
+    marked = parts.select(F.col("id").alias("_id"), F.col("path").alias("_path")).distinct()
+    some = own.join(marked, F.col("id").eqNullSafe(F.col("_id")) & F.col("path").eqNullSafe(F.col("_path")), "left_semi")
+    some = some.unionByName(own.where(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE))).distinct()
+    whole = _near(some.withColumn("line_no", F.lit(0)).withColumnRenamed("text", "line"), Weights.of(*held, TEXT_COUNTS), LEAST_FILE)
+    near = parts.unionByName(named(whole, TEXTS, 2))
+    best = F.struct(F.col("kind") == 2, "cosine", "kind", -F.col("template"))
     stated = stable(
         near.groupBy("id", "path").agg(
-            F.max_by("licence", F.struct("cosine", -F.col("template"))).alias("licence"),
-            F.max("cosine").alias("score"),
-            F.countDistinct("line_no").alias("hits"),
+            F.max_by("licence", best).alias("licence"),
+            F.max_by("cosine", best).alias("score"),
+            F.countDistinct(F.when(F.col("kind") == 1, F.col("line_no"))).alias("hits"),
+            F.max(F.col("kind") == 2).alias("is_text"),
         )
     )
-    sizes = own.where(F.lower("text").rlike(weights.cue_pattern())).select(
+    sizes = some.select(
         "id", "path", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("n_lines")
     ).groupBy("id", "path").agg(F.max("n_lines").alias("n_lines"))
     same = F.col("s.id").eqNullSafe(F.col("z.id")) & F.col("s.path").eqNullSafe(F.col("z.path"))
     licence_files = (
         stated.alias("s").join(sizes.alias("z"), same)
-        .where(F.element_at(F.split("s.path", "/"), -1).rlike(LICENCE_FILE) | (2 * F.col("hits") >= F.col("n_lines")))
+        .where(F.element_at(F.split("s.path", "/"), -1).rlike(LICENCE_FILE) | F.col("is_text") | (2 * F.col("hits") >= F.col("n_lines")))
         .select(_directory(F.col("s.path")).alias("dir"), "licence", "score")
     )
     first = Window.partitionBy("dir").orderBy(F.desc("score"), "licence")
