@@ -73,7 +73,8 @@ def poisson_mix(
     Adds ``copy`` (from 1) and ``shuffle_key``; input columns of these names are replaced.  A document's size is its
     characters plus one, so that null and empty texts count; null sources are a source of their own.  ``weights`` gives
     target shares by source (a source it leaves out has share 0); without it a source's share grows with its size to
-    the power ``temperature``.  Repeated rows with one id get the same count; rows without id share one draw.
+    the power ``temperature``.  Repeated rows with one id get the same count; a row without id is drawn and dealt out
+    by a hash of its other columns.
     Sources of any number and size are allowed: rates are summed before they meet the documents, and the exchange is on
     a hash of the single copy.
     """
@@ -87,7 +88,8 @@ def poisson_mix(
     rates = mean_rates(sizes, temperature, weights).select(
         F.col("key").alias("_key"), F.col("parts").alias("_parts"), F.col("steps").alias("_steps")
     )
-    name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
+    rest = F.xxhash64(*(F.col(f"`{c}`") for c in own.columns)).cast("string")
+    name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("row "), rest))
     count = F.aggregate(
         F.sequence(F.lit(1), F.col("_parts")),
         F.lit(0),
@@ -118,7 +120,10 @@ def op1_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_sql(documents: str, columns: str, seed: int = 42, temperature: float = 0.5) -> str:
-    """DuckDB statement of :func:`poisson_mix` over a table with doc_id, source and text."""
+    """DuckDB statement of :func:`poisson_mix` over a table with doc_id, source and text.
+
+    It holds for rows with an id; those without are drawn by Spark's hash of the row, which DuckDB does not have.
+    """
     return f"""
     WITH RECURSIVE sizes AS (
         SELECT coalesce('=' || source, '') AS key, sum(coalesce(length(text), 0) + 1)::BIGINT AS size

@@ -56,3 +56,15 @@ def test_matches_statement(spark):
     want = con.execute(f"SELECT doc_id, copy, shuffle_key FROM ({mixing.SQL['op1_poisson_mixing']})").fetchall()
     got = mixing.op1_poisson_mixing(spark, SF).select("doc_id", "copy", "shuffle_key").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_rows_without_id_are_drawn_one_by_one(spark, documents):
+    docs = documents([(None, f"text {i}") for i in range(2000)])
+    out = mixing.poisson_mix(docs).collect()
+    counts = [0] * 2000
+    for r in out:
+        counts[int(r["text"][5:])] += 1
+    assert sum(counts) == pytest.approx(2000, abs=6 * math.sqrt(2000))
+    assert counts.count(0) == pytest.approx(2000 / math.e, rel=0.2) and max(counts) > 2
+    assert len({r["shuffle_key"] for r in out}) == len(out)
+    assert sorted(map(str, out)) == sorted(map(str, mixing.poisson_mix(docs.repartition(5)).collect()))
