@@ -28,8 +28,10 @@ TREES = 4
 #: Levels with two choices per node that a document descends at once; then one, and a second with probability 1/4.
 DEPTH = 3
 DEEPEST = 14
-#: Members outside a node's largest class up to which they are compared with the whole node.
-SMALL = 32
+#: Members outside a node's largest class up to which they are compared with the whole node, by sketches first.
+SMALL = 512
+#: Nodes (one long each) of a list that may be broadcast to pick their texts; a longer one is joined by exchange.
+LISTED = 1_000_000
 _SALTS = 64
 _LEAVES = 1 << DEPTH
 _FIRST, _SECOND, _THIRD = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))  # splitmix64
@@ -140,11 +142,17 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One text for each of ``nodes``; a list of up to ``LISTED`` is sent to the texts, so that only theirs are exchanged."""
+    nodes = stable(nodes.distinct())
+    listed = F.broadcast(nodes) if nodes.count() <= LISTED else nodes
+    return texts.join(listed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets share ``least`` hundredths of their union; every set is made once."""
     pairs = stable(pairs.distinct())
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one = texts.join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    one = _texts_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     sets = stable(map_slices(one, lambda c: [c[0], [shingles(t, size).astype("<u8").tobytes() for t in c[1]]], "node long, hashes binary"))
 
     def judge(columns):
@@ -222,7 +230,7 @@ def _branched(rows: DataFrame, texts: DataFrame, size: int) -> DataFrame:
         return out
 
     paths = rows.groupBy(F.col("member.node").alias("node")).agg(F.collect_list("key").alias("keys"), F.collect_list("place").alias("places"))
-    one = texts.join(paths.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    one = _texts_of(texts, paths.select("node"))
     return map_slices(one.join(paths, "node").select("node", "text", "keys", "places"), handle, "key long, place long, node long")
 
 

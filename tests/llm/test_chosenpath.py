@@ -84,11 +84,9 @@ def test_crowd_of_near_copies_is_one_component(spark, documents):
             out[at] = rng.choice(words)
         return " ".join(out)
 
-    rows = [(i, changed(rng.choice([0, 2, 3, 4]))) for i in range(600)] + [(600 + i, changed(rng.randint(8, 40))) for i in range(60)]
-    for size in (2, 5):
-        want = brute(rows, size)
-        got = found(documents(rows), size=size)
-        assert got == want and len({c for _, c in want.values()}) > 10
+    rows = [(i, changed(rng.choice([0, 2, 3, 4]))) for i in range(600)] + [(600 + i, changed(rng.randint(5, 30))) for i in range(60)]
+    want = brute(rows, 5)
+    assert found(documents(rows), size=5) == want and len({c for _, c in want.values()}) > 10
 
 
 def test_unrelated_texts_that_share_passages_branch(spark, documents, monkeypatch):
@@ -96,12 +94,13 @@ def test_unrelated_texts_that_share_passages_branch(spark, documents, monkeypatc
     depths = []
     branched = chosenpath._branched
     monkeypatch.setattr(chosenpath, "_branched", lambda *a: depths.append(1) or branched(*a))
-    monkeypatch.setattr(chosenpath, "SMALL", 4)
+    monkeypatch.setattr(chosenpath, "SMALL", 12)
+    monkeypatch.setattr(chosenpath, "LISTED", 0)
     rng = random.Random(3)
     words = [f"w{i}" for i in range(3000)]
     passage = rng.choices(words, k=60)
     rows = []
-    for _ in range(250):
+    for _ in range(160):
         text = passage + rng.choices(words, k=rng.randint(25, 60))
         rows.append(text)
         if rng.random() < 0.2:
