@@ -134,10 +134,12 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     component and are kept as they are.
     """
     classes = near_copies(docs.where(F.col(f"`{id_col}`").isNotNull()), id_col=id_col, text_col=text_col)
-    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    one = docs.join(kept, id_col, "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
-    return one.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
+    # The row is nested, so that no name of its columns can clash.
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"))
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.to_json("row")))
+    one = rows.join(kept, "doc_id", "left_semi").withColumn("place", F.row_number().over(order)).where("place = 1")
+    return one.select("doc_id", "row").unionByName(rows.where("doc_id IS NULL")).select("row.*")
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
