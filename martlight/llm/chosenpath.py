@@ -33,6 +33,9 @@ SMALL = 512
 #: Nodes (one long each) of a list that may be broadcast to pick their texts; a longer one is joined by exchange.
 LISTED = 1_000_000
 _SALTS = 64
+#: Longs of a sketch: the bits of the tokens in two, parities in the others.
+_CELLS = 8
+_SKETCH = [f"s{i}" for i in range(2 + _CELLS)]
 _LEAVES = 1 << DEPTH
 _FIRST, _SECOND, _THIRD = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))  # splitmix64
 
@@ -97,38 +100,43 @@ def _children(key: np.uint64, place: int, hashes: np.ndarray) -> tuple[list[int]
     return keys.view(np.int64).tolist(), chosen.tolist()
 
 
-def _sketches(least: np.ndarray) -> np.ndarray:
-    """Two low bits of every token of a set, in two longs."""
+def _sketches(least: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
+    """Per set the two low bits of every token in two longs, then the parity of its hashes in each of 512 cells."""
     pairs = (least & np.uint64(3)).reshape(len(least), 2, -1)
-    return np.bitwise_or.reduce(pairs << (2 * np.arange(pairs.shape[2], dtype=np.uint64)), axis=2)
+    tokens = np.bitwise_or.reduce(pairs << (2 * np.arange(pairs.shape[2], dtype=np.uint64)), axis=2)
+    odd = np.stack([np.bincount((h % np.uint64(64 * _CELLS)).astype(np.int64), minlength=64 * _CELLS) & 1 for h in hashes])
+    parities = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<u8")
+    return np.concatenate([tokens, parities], axis=1)
 
 
 def signed_nodes(texts: DataFrame, size: int) -> DataFrame:
-    """``node, n, s0, s1, keys`` of ``node, text`` rows: number of shingles, sketch, and nodes at ``DEPTH`` (none for
+    """``node, n, s0.., keys`` of ``node, text`` rows: number of shingles, sketch, and nodes at ``DEPTH`` (none for
     empty sets)."""
 
     def handle(columns):
         hashes = [shingles(t, size) for t in columns[1]]
         least = np.stack([_least(h, _OFFSETS, _FACTORS) for h in hashes])
-        sketches, paths = _sketches(least).view(np.int64), _first_paths(least).view(np.int64)
+        sketches, paths = _sketches(least, hashes).view(np.int64), _first_paths(least).view(np.int64)
         keys = [row.tolist() if len(h) else [] for row, h in zip(paths, hashes)]
-        return [columns[0], [len(h) for h in hashes], sketches[:, 0].tolist(), sketches[:, 1].tolist(), keys]
+        return [columns[0], [len(h) for h in hashes], *sketches.T.tolist(), keys]
 
-    return map_slices(texts, handle, "node long, n long, s0 long, s1 long, keys array<long>")
+    return map_slices(texts, handle, f"node long, n long, {', '.join(f'{c} long' for c in _SKETCH)}, keys array<long>")
 
 
 def _possible(x: str, y: str, least: int) -> Column:
     """Whether numbers of shingles and sketches of two members allow the similarity.
 
-    Of sets at 0.8 a token's two bits agree with probability 0.85; the limit lies five deviations
-    away, so one similar pair in a million is left out.
+    A shingle of one set alone turns one parity, so more odd cells than that differ only between sets further apart: this
+    leaves out nothing, and is sharp for sets of up to some hundred shingles.  Of sets at 0.8 a token's two bits agree with
+    probability 0.85; the limit for tokens lies five deviations away, so one similar pair in a million is left out.
     """
+    together = F.col(f"{x}.n") + F.col(f"{y}.n")
     sizes = 100 * F.least(f"{x}.n", f"{y}.n") >= least * F.greatest(f"{x}.n", f"{y}.n")
-    apart = F.lit(0)
-    for part in ("s0", "s1"):
-        xor = F.col(f"{x}.{part}").bitwiseXOR(F.col(f"{y}.{part}"))
-        apart = apart + F.bit_count(xor.bitwiseOR(F.shiftrightunsigned(xor, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return sizes & (apart <= allowed_apart(least))
+    xor = [F.col(f"{x}.{part}").bitwiseXOR(F.col(f"{y}.{part}")) for part in _SKETCH]
+    tokens = [F.bit_count(v.bitwiseOR(F.shiftrightunsigned(v, 1)).bitwiseAND(F.lit(0x5555555555555555))) for v in xor[:2]]
+    # At the limit common = least (together - common) / 100, and together - 2 common shingles lie in one set alone.
+    alone = sum(map(F.bit_count, xor[2:]), F.lit(0)) * (100 + least) <= together * (100 - least)
+    return sizes & (tokens[0] + tokens[1] <= allowed_apart(least)) & alone
 
 
 def allowed_apart(least: int) -> int:
@@ -153,19 +161,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: int) -> Data
     """The pairs ``a, b`` whose full sets share ``least`` hundredths of their union; every set is made once."""
     pairs = stable(pairs.distinct())
     one = _texts_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")))
-    sets = stable(map_slices(one, lambda c: [c[0], [shingles(t, size).astype("<u8").tobytes() for t in c[1]]], "node long, hashes binary"))
-
-    def judge(columns):
-        alike = []
-        for x, y in zip(columns[2], columns[3]):
-            p, q = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
-            common = len(np.intersect1d(p, q, assume_unique=True))
-            alike.append(100 * common >= least * (len(p) + len(q) - common))
-        return [columns[0], columns[1], alike]
-
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    judged = map_slices(both, judge, "a long, b long, alike boolean")
-    return stable(judged.where("alike").select("a", "b"))
+    hashed = map_slices(one, lambda c: [c[0], [shingles(t, size).view(np.int64) for t in c[1]]], "node long, hashes array<long>")
+    sets = stable(hashed)
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return stable(both.where(100 * common >= least * (F.size("x") + F.size("y") - common)).select("a", "b"))
 
 
 def _led(members: DataFrame, signed: DataFrame) -> DataFrame:
@@ -174,8 +174,8 @@ def _led(members: DataFrame, signed: DataFrame) -> DataFrame:
     A member is its node, number of shingles and sketch; the leader is that with the least hash of itself and the key.
     """
     shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    held = members.join(shared, "key").join(signed.select("node", "n", "s0", "s1"), "node")
-    held = stable(held.select("key", "place", F.struct("node", "n", "s0", "s1").alias("member")))
+    held = members.join(shared, "key").join(signed.select("node", "n", *_SKETCH), "node")
+    held = stable(held.select("key", "place", F.struct("node", "n", *_SKETCH).alias("member")))
     leaders = held.groupBy("key").agg(F.min_by("member", F.xxhash64("member.node", "key")).alias("leader"))
     return held.join(leaders, "key")
 
@@ -274,7 +274,7 @@ def similar_sets(
     own = own.withColumn("node", F.xxhash64("text"))
     salted = own.select("doc_id", "node", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int").alias("salt"))
     signed = signed_nodes(own.select("node", "text"), size)
-    signed = stable(signed.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "s0", "s1", "keys"))))
+    signed = stable(signed.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", *_SKETCH, "keys"))))
     found = links(own.select("node", "text"), signed, size=size, least=least)
     if link_empty:
         empty = signed.where("n = 0").select("node")
