@@ -27,6 +27,7 @@ from martlight.operators.pairs import (
     nth_unseen,
     product_frequency,
 )
+from martlight.operators.products import packed_lists, top_of_product
 from martlight.plans.facts import person_orders
 from martlight.plans.product import categories
 from martlight.session import stable
@@ -121,8 +122,8 @@ class Recommender(History):
     """History with the similarity of product classes."""
 
     members: DataFrame  # product_id, class_id, place within the class
-    classes: DataFrame  # class_id, orders, size
-    edges: DataFrame  # src, dst, similarity in SCORE_UNITs, orders and size of dst
+    classes: DataFrame  # class_id, orders, size, number
+    lists: DataFrame  # neighbours of a class by its number, packed best first; similarity in SCORE_UNITs
 
 
 def fit_history(train: DataFrame) -> History:
@@ -146,38 +147,29 @@ def fit_recommender(train: DataFrame) -> Recommender:
     named = products.groupBy(*signature).agg(F.min("product_id").alias("class_id"), F.count(F.lit(1)).alias("size"))
     member_of = products.join(named, signature).select("product_id", "class_id")
     members = grouped_position(member_of, ["class_id"], [F.col("product_id")], "place")
-    classes = stable(named.select("class_id", "orders", "size"))
+    classes = stable(rank_first(named.select("class_id", "orders", "size"), [F.col("class_id")], "number"))
 
     # The rows of a class's first member stand for the class.
-    class_basket = basket.join(classes.select(F.col("class_id").alias("product_id")), "product_id", "left_semi")
+    numbered = basket.join(classes.select(F.col("class_id").alias("product_id"), "number"), "product_id")
+    sizes = classes.select("number", "orders")
     pairs = (
-        co_purchase_pairs(class_basket)
-        .join(classes.toDF("product_a", "orders_a", "size_a"), "product_a")
-        .join(classes.toDF("product_b", "orders_b", "size_b"), "product_b")
+        co_purchase_pairs(numbered.select("order_id", F.col("number").alias("product_id")))
+        .join(sizes.toDF("product_a", "orders_a"), "product_a")
+        .join(sizes.toDF("product_b", "orders_b"), "product_b")
     )
     similarity = jaccard(F.col("co_purchase_orders"), F.col("orders_a"), F.col("orders_b"))
-    units = F.round(similarity * SCORE_UNIT).cast("long").alias("similarity")
+    units = F.round(similarity * SCORE_UNIT).cast("long").alias("value")
 
     def towards(src: str, dst: str) -> Column:
-        return F.struct(
-            F.col(f"product_{src}").alias("src"),
-            F.col(f"product_{dst}").alias("dst"),
-            units,
-            F.col(f"orders_{dst}").alias("orders"),
-            F.col(f"size_{dst}").alias("size"),
-        )
+        return F.struct(F.col(f"product_{src}").alias("src"), F.col(f"product_{dst}").alias("dst"), units)
 
     loops = classes.where(F.col("size") > 1).select(
-        F.col("class_id").alias("src"),
-        F.col("class_id").alias("dst"),
-        F.lit(SCORE_UNIT).cast("long").alias("similarity"),
-        "orders",
-        "size",
+        F.col("number").alias("src"), F.col("number").alias("dst"), F.lit(SCORE_UNIT).cast("long").alias("value")
     )
     directed = pairs.select(F.inline(F.array(towards("a", "b"), towards("b", "a"))))
-    edges = stable(directed.unionByName(loops))
+    lists = stable(packed_lists(directed.unionByName(loops)))
     known = fit_history(train)
-    return Recommender(known.popularity, known.history, known.persons, stable(members), classes, edges)
+    return Recommender(known.popularity, known.history, known.persons, stable(members), classes, lists)
 
 
 def similar_products(model: Recommender, k: int, histories: DataFrame | None = None) -> DataFrame:
@@ -190,29 +182,22 @@ def similar_products(model: Recommender, k: int, histories: DataFrame | None = N
         .groupBy("history_id", "class_id")
         .agg(F.count(F.lit(1)).alias("held"))
     )
-    reached = owned.join(model.edges, F.col("class_id") == F.col("src")).select(
-        "history_id",
-        F.col("dst").alias("class_id"),
-        (F.col("held") * F.col("similarity")).alias("score"),
-        "orders",
-        "size",
-        F.lit(0).cast("long").alias("held"),
-    )
-    nothing = F.lit(0).cast("long")
-    already = owned.select(
-        "history_id", "class_id", nothing.alias("score"), nothing.alias("orders"), nothing.alias("size"), "held"
+    owned = stable(owned.join(model.classes, "class_id"))
+    sources = owned.select(
+        "history_id", F.col("number").alias("src"), F.col("held").alias("weight"), (F.col("held") >= F.col("size")).alias("closed")
     )
-    free = F.col("size") - F.col("held")
+    scored = top_of_product(sources, model.lists, "history_id", k).withColumnRenamed("dst", "number")
+    held = owned.select("history_id", "number", "held")
     open_classes = (
-        reached.unionByName(already)
-        .groupBy("history_id", "class_id")
-        .agg(*[F.sum(c).alias(c) for c in ("score", "held")], *[F.max(c).alias(c) for c in ("orders", "size")])
-        .where(free > 0)
+        scored.join(model.classes, "number")
+        .join(held, ["history_id", "number"], "left")
+        .withColumn("held", F.coalesce("held", F.lit(0).cast("long")))
+        .withColumn("free", F.col("size") - F.col("held"))
     )
     # Every class offers at least one product, so classes behind k better ones cannot be listed.
     best = Window.partitionBy("history_id").orderBy(F.desc("score"), F.desc("orders"))
     leading = open_classes.withColumn("class_rank", F.rank().over(best)).where(F.col("class_rank") <= k)
-    leading = stable(leading.select("history_id", "class_id", "score", "orders", free.alias("free"), "held"))
+    leading = stable(leading.select("history_id", "class_id", "score", "orders", "free", "held"))
 
     slots = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("free"), F.lit(k).cast("long"))))
     wanted = leading.select("history_id", "class_id", "held", slots.alias("slot"))
