@@ -17,6 +17,18 @@ def money(column: Column | str, digits: int = 2) -> Column:
     return F.round(_col(column), digits).cast("double")
 
 
+def steady_sum(column: Column | str) -> Column:
+    """Sum of a double column through decimals of ten digits, the same whatever the order of the rows."""
+    return F.sum(_col(column).cast("decimal(28,10)")).cast("double")
+
+
+def steady_mean(column: Column | str) -> Column:
+    """Mean of a double column, rounded half up at six digits in decimal arithmetic; null without values."""
+    total = F.sum(_col(column).cast("decimal(28,10)"))
+    count = F.nullif(F.count(_col(column)), F.lit(0).cast("long"))
+    return (total.cast("decimal(38,10)") / count.cast("decimal(20,0)")).cast("double")
+
+
 def exact_ratio(numerator: Column | str, denominator: Column | str, digits: int = 2) -> Column:
     """``round(numerator / denominator, digits)`` in decimal arithmetic; null when the denominator is 0."""
     top = _col(numerator).cast("decimal(26,2)")

@@ -17,6 +17,12 @@ def total(column: str, alias: str) -> str:
     return f"round(sum({column}), 4) AS {alias}"
 
 
+def steady(column: str, alias: str) -> str:
+    """Mean rounded half up at six digits, in whole numbers of 1e-10."""
+    whole = f"CAST(sum(CAST({column} AS DECIMAL(28,10))) * 10000000000 AS HUGEINT)"
+    return f"CAST(({whole} * 2 + count({column}) * 10000) // (count({column}) * 20000) AS DOUBLE) / 1000000 AS {alias}"
+
+
 def six(expr: str, digits: int = 6) -> str:
     """Number text with fixed decimals."""
     return f"CAST(CAST({expr} AS DECIMAL(26,{digits})) AS VARCHAR)"
@@ -92,12 +98,12 @@ ARTIFACTS = {"features": "ret", "segments": "ret", "clv": "trend", "retention":
 
 SQL = {
     "k7_1_portfolio_summary": over(f"""SELECT count(DISTINCT customer_unique_id) AS customer_count,
-        {total(P, P)}, {mean(P, 'average_predicted_customer_value')}, {mean('recency_days', 'average_recency_days')}, """
+        {total(P, P)}, {steady(P, 'average_predicted_customer_value')}, {steady('recency_days', 'average_recency_days')}, """
         + ", ".join(f"count(*) FILTER (WHERE retention_priority = '{p}') AS {p.lower()}_retention_customers"
                     for p in ("Critical", "High", "Medium", "Low")) + " FROM ret"),
     "k7_2_priority_summary": over(f"""SELECT retention_priority, count(DISTINCT customer_unique_id) AS customers,
-        {total(P, P)}, {mean(P, 'average_predicted_value')}, {mean('recency_days', 'average_recency_days')},
-        {mean('opportunity_score', 'average_opportunity_score')} FROM ret GROUP BY 1"""),
+        {total(P, P)}, {steady(P, 'average_predicted_value')}, {steady('recency_days', 'average_recency_days')},
+        {steady('opportunity_score', 'average_opportunity_score')} FROM ret GROUP BY 1"""),
     "k7_3_action_summary": over(f"""SELECT retention_priority, recommended_action,
         count(DISTINCT customer_unique_id) AS customers, {total(P, P)} FROM ret GROUP BY 1, 2"""),
     "k7_4_inactive_high_value": over(f"""SELECT customer_unique_id, {P}, recency_days, order_count, retention_priority,
