@@ -168,30 +168,34 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: int) -> Data
     return stable(both.where(100 * common >= least * (F.size("x") + F.size("y") - common)).select("a", "b"))
 
 
-def _led(members: DataFrame, signed: DataFrame) -> DataFrame:
-    """``key, place, member, leader`` of ``key, place, node`` rows, where a node of the tree has several members.
+def _sketched(signed: DataFrame) -> DataFrame:
+    """``node, member``: what :func:`_possible` compares."""
+    return signed.select("node", F.struct("node", "n", *_SKETCH).alias("member"))
 
-    A member is its node, number of shingles and sketch; the leader is that with the least hash of itself and the key.
+
+def _led(members: DataFrame) -> DataFrame:
+    """``key, place, node, leader`` of ``key, place, node`` rows, where a node of the tree has several members.
+
+    The leader is the member with the least hash of itself and the key.
     """
     shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    held = members.join(shared, "key").join(signed.select("node", "n", *_SKETCH), "node")
-    held = stable(held.select("key", "place", F.struct("node", "n", *_SKETCH).alias("member")))
-    leaders = held.groupBy("key").agg(F.min_by("member", F.xxhash64("member.node", "key")).alias("leader"))
-    return held.join(leaders, "key")
+    held = stable(members.join(shared, "key").select("key", "place", "node"))
+    return held.join(held.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("leader")), "key")
 
 
-def _with_leader(rows: DataFrame, least: int) -> DataFrame:
-    """``a, b``: members with their leaders."""
-    pairs = rows.where("member.node <> leader.node").where(_possible("member", "leader", least))
-    return pairs.select(*_ordered("member.node", "leader.node"))
+def _candidates(pairs: DataFrame, signed: DataFrame, least: int) -> DataFrame:
+    """``a, b``: the pairs ``node, other`` whose sketches allow the similarity."""
+    pairs = pairs.where("node <> other").select(*_ordered("node", "other")).distinct()
+    members = _sketched(signed)
+    return pairs.join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b").where(_possible("x", "y", least)).select("a", "b")
 
 
 def _classed(rows: DataFrame, links: DataFrame) -> DataFrame:
     """The rows of nodes with members of several classes, with ``label``, the node's largest class ``main`` and the number
     of members ``outside`` it."""
     roots = components(links).select(F.col("node"), F.col("root").alias("label"))
-    labelled = rows.withColumn("node", F.col("member.node")).join(roots, "node", "left")
-    labelled = stable(labelled.withColumn("label", F.coalesce("label", "node")).drop("node"))
+    labelled = rows.select("key", "place", "node", "leader").join(roots, "node", "left")
+    labelled = stable(labelled.withColumn("label", F.coalesce("label", "node")))
     classes = labelled.groupBy("key", "label").agg(F.count("*").alias("members"))
     nodes = classes.groupBy("key").agg(
         F.max_by("label", F.struct("members", "label")).alias("main"),
@@ -200,15 +204,22 @@ def _classed(rows: DataFrame, links: DataFrame) -> DataFrame:
     return labelled.join(nodes.where("outside > 0"), "key")
 
 
-def _exhaustive(rows: DataFrame, least: int) -> DataFrame:
+def _with_main(mixed: DataFrame) -> DataFrame:
+    """``node, other``: members outside a node's largest class, with one of that class."""
+    other = F.min_by("node", F.xxhash64("node", "key", "label")).alias("other")
+    chosen = mixed.where("label = main").groupBy("key").agg(other)
+    return mixed.where("label <> main").join(chosen, "key").select("node", "other")
+
+
+def _exhaustive(rows: DataFrame, signed: DataFrame, least: int) -> DataFrame:
     """``a, b``: in each node all members outside the main class, with all members of other classes than their own.
 
     A pair outside the main class comes up once, from its smaller member; pairs with the leader were verified before.  A
     node with more than ``SMALL`` outside is cut into blocks, and each pair of blocks is a key of its own.
     """
     blocks = F.ceil(F.sqrt(F.col("outside") / SMALL)).cast("int")
-    rows = rows.where("member.node <> leader.node").withColumn("blocks", blocks)
-    own = F.pmod(F.xxhash64("member.node"), F.col("blocks").cast("long")).cast("int")
+    rows = rows.where("node <> leader").join(_sketched(signed), "node").withColumn("blocks", blocks)
+    own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
     cells = rows.withColumn("own", own).withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = cells.where("label <> main").select("key", F.col("own").alias("i"), F.col("cell").alias("j"), F.col("member").alias("x"), F.col("label").alias("label_x"))
     right = cells.select("key", F.col("cell").alias("i"), F.col("own").alias("j"), F.col("member").alias("y"), F.col("label").alias("label_y"), "main")
@@ -229,7 +240,7 @@ def _branched(rows: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                     column.extend(value if isinstance(value, list) else [value] * (len(out[0]) - len(out[2])))
         return out
 
-    paths = rows.groupBy(F.col("member.node").alias("node")).agg(F.collect_list("key").alias("keys"), F.collect_list("place").alias("places"))
+    paths = rows.groupBy("node").agg(F.collect_list("key").alias("keys"), F.collect_list("place").alias("places"))
     one = _texts_of(texts, paths.select("node"))
     return map_slices(one.join(paths, "node").select("node", "text", "keys", "places"), handle, "key long, place long, node long")
 
@@ -244,14 +255,17 @@ def links(texts: DataFrame, signed: DataFrame, *, size: int, least: int = 80) ->
     members = paths.select("key", (tree * F.lit(1 << 48) + _LEAVES + leaf).alias("place"), "node")
     found: DataFrame | None = None
     for depth in range(DEPTH, DEEPEST + 1):
-        rows = stable(_led(members, signed))
-        led = _verified(_with_leader(rows, least), texts, size, least)
+        rows = stable(_led(members))
+        led = _verified(_candidates(rows.select("node", F.col("leader").alias("other")), signed, least), texts, size, least)
         found = found.unionByName(led) if found else led
         mixed = stable(_classed(rows, found))
+        # Those that missed their leaders by chance meet another member first, so that few classes are left to compare.
+        found = found.unionByName(_verified(_candidates(_with_main(mixed), signed, least), texts, size, least))
+        mixed = stable(_classed(mixed, found))
         deeper = mixed.where(F.col("outside") > SMALL)
         last = depth == DEEPEST or deeper.isEmpty()
         judged = mixed if last else mixed.where(F.col("outside") <= SMALL)
-        found = found.unionByName(_verified(_exhaustive(judged, least), texts, size, least))
+        found = found.unionByName(_verified(_exhaustive(judged, signed, least), texts, size, least))
         if last:
             return found
         members = stable(_branched(deeper, texts, size))
