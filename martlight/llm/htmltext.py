@@ -40,12 +40,22 @@ OUTSIDE_NAMES = frozenset(
     " consent gdpr notice notices alert popup modal overlay dialog sidebar aside menu nav navbar navigation breadcrumb"
     " breadcrumbs header footer masthead topbar toolbar comment comments disqus respond reply replies share sharing"
     " social related recommended newsletter subscribe subscription signup login widget pagination pager copyright"
-    " legal disclaimer contentinfo complementary search".split()
+    " legal disclaimer contentinfo complementary search commentlist commentform sharebar adsense adsbygoogle"
+    " relatedposts cookiebar topnav subnav".split()
 )
+#: Of these, the names of what readers wrote.
+READERS = frozenset("comment comments reply replies disqus".split())
 #: Parts before a name that make it the property of a wrapper.
 NEGATIONS = frozenset("has have no not with without hide show".split())
 #: Last parts that leave the name before them what it is: ``comments-area``, ``ad-slot``.
-PLACES = frozenset("area box slot unit buttons links".split())
+PLACES = frozenset(
+    "area box slot unit buttons links list body inner outer left right top bottom container wrapper wrap message posts"
+    " form bar item items block section panel holder region row col column group thread module".split()
+)
+#: Last parts that say so after a name of ``READERS`` only.
+REMARKS = frozenset("content text title author meta count date".split())
+#: Parts before a name that make ``content-sidebar-wrap`` a wrapper of both.
+WHOLES = frozenset("content main".split())
 BLOCKS = frozenset(
     "html body p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr td th caption section article main"
     " header footer nav aside form blockquote pre hr address figure figcaption details summary fieldset center title".split()
@@ -58,6 +68,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Characters under which a block is short, the link density that no article text has, and stop-word densities.
 SHORT, LINKED, LOW, HIGH = 70, 0.5, 0.15, 0.3
+#: Stop-word density of a page's longer blocks under which its language is taken for one whose words are not known.
+UNKNOWN = 0.05
 
 PART = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -66,8 +78,14 @@ PART = re.compile(
     r"|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.DOTALL | re.IGNORECASE,
 )
-NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+UNSHOWN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+NUMBER = re.compile(r"\d+(?:x\d+)?")
+FORM = re.compile(r"<(/?)form\b", re.IGNORECASE)
+#: Elements that make the form around them one of the whole page.
+PAGE_PARTS = re.compile(r"<(?:main|article|nav|footer|h1)\b", re.IGNORECASE)
+#: Scripts whose characters say as much as several letters.
+DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 WORD = re.compile(r"\w+")
 SPACE = re.compile(r"\s+")
 
@@ -84,22 +102,48 @@ class Block:
     good: bool | None = None
 
 
+def _attributes(text: str) -> dict[str, str]:
+    """Values by name; of a repeated name the first counts."""
+    found: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), "".join(values))
+    return found
+
+
 def _names_outside(attributes: str) -> int:
     """2: hidden, 1: by a name, 0: not outside."""
     if not attributes or attributes.isspace():
         return 0
-    if HIDDEN.search(attributes):
+    own = _attributes(attributes)
+    if "hidden" in own or own.get("aria-hidden", "").strip().lower() == "true" or UNSHOWN.search(own.get("style", "")):
         return 2
-    return int(any(_names_itself(name) for m in NAMES.findall(attributes) for name in "".join(m).lower().split()))
+    names = " ".join(own.get(key, "") for key in ("class", "id", "role"))
+    return int(any(_names_itself(name) for name in names.lower().split()))
 
 
 def _names_itself(name: str) -> bool:
-    """Whether a class, id or role says what the element is, by its last part: ``site-header``, ``cookie_notice``;
-    ``has-sidebar`` and ``post-with-comments`` say what stands in or beside it, ``search-results`` what was found."""
+    """Whether a class, id or role says what the element is, by its last part but numbers and places: ``site-header``,
+    ``cookie_notice``, ``comment-42``, ``sidebar-inner``; ``has-sidebar`` and ``post-with-comments`` say what stands in
+    or beside it, ``search-results`` what was found, ``content-sidebar-wrap`` what it wraps."""
     parts = re.findall(r"[a-z0-9]+", name)
-    if len(parts) > 1 and parts[-1] in PLACES:
+    n = len(parts)
+    while len(parts) > 1 and (parts[-1] in PLACES or NUMBER.fullmatch(parts[-1]) or (parts[-1] in REMARKS and parts[-2] in READERS)):
         parts.pop()
-    return bool(parts) and parts[-1] in OUTSIDE_NAMES and NEGATIONS.isdisjoint(parts[:-1])
+    if not parts or parts[-1] not in OUTSIDE_NAMES or not NEGATIONS.isdisjoint(parts[:-1]):
+        return False
+    return len(parts) == n or WHOLES.isdisjoint(parts[:-1])
+
+
+def _page_forms(page: str) -> set[int]:
+    """Where forms begin that hold the page rather than fields; one that is never closed reaches to the end."""
+    marks = [(m.start(), bool(m[1])) for m in FORM.finditer(page)]
+    wide = set()
+    for i, (start, closing) in enumerate(marks):
+        if not closing:
+            end = marks[i + 1][0] if i + 1 < len(marks) else len(page)
+            if PAGE_PARTS.search(page, start, end) or (i + 1 < len(marks) and not marks[i + 1][1]):
+                wide.add(start)
+    return wide
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -107,8 +151,14 @@ def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     # Element, stands outside an article (1: by a name, 2: by an element), number of the article, of a doubtful one.
     stack: list[tuple[str, int, int, int]] = []
-    articles, links = 0, 0
+    articles, links, link_depth = 0, 0, 0
     current = Block()
+    page_forms = _page_forms(page)
+
+    def cut(depth: int) -> None:
+        nonlocal links
+        del stack[depth:]
+        links = links if len(stack) >= link_depth else 0  # a link left open ends with the element it began in
 
     def close() -> None:
         nonlocal current
@@ -134,19 +184,19 @@ def blocks_of(page: str) -> list[Block]:
             continue
         closing, attributes = bool(match[2] or match[5]), match[4] or match[7] or ""
         if name == "a":
-            links = 0 if closing else 1
+            links, link_depth = int(not closing and "href" in _attributes(attributes)), len(stack)
             continue
         if name == "br":
             add("\n")
             continue
         if name in BLOCKS or name in OUTSIDE:
             close()
-            links = 0 if name in ("article", "main", "footer") else links
+            links = 0 if name in ("article", "main", "footer") or (closing and name not in CONTAINERS) else links
         if name in CONTAINERS and name not in VOID:
             if closing:
                 for depth in range(len(stack) - 1, -1, -1):
                     if stack[depth][0] == name:
-                        del stack[depth:]
+                        cut(depth)
                         break
                     if stack[depth][0] in ARTICLES and name not in ("html", "body", *ARTICLES):
                         break  # a stray end of something opened outside the article
@@ -155,7 +205,7 @@ def blocks_of(page: str) -> list[Block]:
                     # An end tag may be missing: a new one ends the last, with what was left open inside it.
                     for depth in range(len(stack) - 1, -1, -1):
                         if stack[depth][0] == name:
-                            del stack[depth:]
+                            cut(depth)
                             break
                         if stack[depth][0] not in ("span", "p"):
                             break
@@ -172,7 +222,9 @@ def blocks_of(page: str) -> list[Block]:
                             outside, article = 0, articles
                         else:
                             doubtful = articles
-                elif name not in ("html", "body") and (own := 2 if name in OUTSIDE else _names_outside(attributes)):
+                elif name not in ("html", "body") and match.start() not in page_forms and (
+                    own := 2 if name in OUTSIDE else _names_outside(attributes)
+                ):
                     outside, doubtful = max(outside, own), 0
                 stack.append((name, outside, article, doubtful))
             if name in BLOCKS or name in OUTSIDE or (stack and (bool(stack[-1][1]), stack[-1][3]) != (current.outside, current.doubtful)):
@@ -186,19 +238,35 @@ def blocks_of(page: str) -> list[Block]:
     return found
 
 
+def _size(text: str) -> int:
+    """Characters, those of dense scripts counted as three."""
+    return len(text) if text.isascii() else len(text) + 2 * len(DENSE.findall(text))
+
+
 def decide(blocks: list[Block]) -> None:
-    """First pass: sets ``good`` where stop words, length, links or the element decide."""
+    """First pass: sets ``good`` where stop words, length, links or the element decide.
+
+    On a page whose longer blocks hold next to none of the stop words, its language is not among those known here; its
+    long blocks are then decided by length and links alone.
+    """
     has_article = any(b.article for b in blocks)
+    found = []
     for b in blocks:
         words = WORD.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+        found.append((sum(w in STOP_WORDS for w in words), len(words)))
+    long = [n for b, n in zip(blocks, found, strict=True) if not b.outside and _size(b.text) >= SHORT]
+    known = sum(stops for stops, _ in long) >= UNKNOWN * sum(n for _, n in long)
+    for b, (stops, n_words) in zip(blocks, found, strict=True):
+        stops = stops / n_words if n_words else 0.0
         density = b.linked / len(b.text)
         if b.outside or (has_article and not b.article):
             b.good = False
         elif density > LINKED:
             b.good = False
-        elif len(b.text) < SHORT:
+        elif _size(b.text) < SHORT:
             b.good = False if b.linked and not has_article else None
+        elif not known and not has_article:
+            b.good = not b.heading or None
         elif stops >= HIGH:
             b.good = not b.heading or None
         elif stops < LOW and not has_article:

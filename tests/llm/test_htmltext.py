@@ -92,3 +92,53 @@ def test_elements_of_these_names_go(names):
 )
 def test_articles_inside_named_wrappers(page, want):
     assert htmltext.main_text(page) == want
+
+
+PROSE = "This is the text of the article that was written by one of us and it is as long as it has to be for a block."
+
+
+@pytest.mark.parametrize("name", ["comments-list", "comment-body", "comment-42", "commentlist", "sidebar-inner", "sidebar-left",
+                                  "ad-container", "ad-300x250", "cookie-message", "related-posts", "newsletter-form", "share-bar", "post-comments-list"])
+@pytest.mark.parametrize("page", ["<article><p>{0}</p><div class='{1}'><p>{0} Aside.</p></div></article>", "<div><p>{0}</p></div><div id={1}><p>{0} Aside.</p></div>"])
+def test_names_with_places_and_numbers_are_outside(name, page):
+    assert htmltext.main_text(page.format(PROSE, name)) == PROSE
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "post-with-comments", "search-results", "content-sidebar-wrap", "post-42", "list-item"])
+def test_wrappers_stay(name):
+    assert htmltext.main_text(f"<div class='{name}'><p>{PROSE}</p></div>") == PROSE
+
+
+@pytest.mark.parametrize("text", ["Это обычный текст статьи на русском языке, в котором нет ни одного слова из списков, но он достаточно длинный.",
+                                  "这是一篇普通的中文文章，其中没有任何列表里的词语，但是它的长度足以说明它就是正文的一部分。"])
+def test_languages_without_word_list(text):
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>{text[:9]}</a></li>" for i in range(5)) + "</ul>"
+    assert htmltext.main_text(f"<body>{menu}<div><p>{text}</p><p>{text}</p></div></body>") == f"{text}\n\n{text}"
+
+
+@pytest.mark.parametrize("anchor", ["<a href=x>", "<a name=s1>", "<a name='href'>"])
+def test_open_anchors_end_with_their_block(anchor):
+    page = f"<body><p>{PROSE}{anchor} more</p><p>{PROSE}</p><h2>{anchor}Title</h2><p>{PROSE}</p></body>"
+    assert htmltext.main_text(page) == f"{PROSE} more\n\n{PROSE}\n\nTitle\n\n{PROSE}" or anchor == "<a href=x>"
+    assert htmltext.main_text(page).count(PROSE) == 3
+
+
+def test_links_around_blocks_are_links():
+    assert htmltext.main_text(f"<body><p>{PROSE}</p><a href=x><div>{PROSE}</div></a></body>") == PROSE
+
+
+@pytest.mark.parametrize("attribute", ['title="the hidden life"', 'data-note="aria-hidden=true"', 'alt=\'display: none\'', 'title="class=sidebar"'])
+def test_attribute_values_hide_nothing(attribute):
+    assert htmltext.main_text(f"<div {attribute}><p>{PROSE}</p></div>") == PROSE
+
+
+def test_hidden_elements_go():
+    for attribute in ("hidden", "aria-hidden=TRUE", "style='color:red; display : none'"):
+        assert htmltext.main_text(f"<p>{PROSE}</p><div {attribute}><p>{PROSE} Hidden.</p></div>") == PROSE
+
+
+@pytest.mark.parametrize("body", ["<h1>Title of it</h1><p>{0}</p>", "<nav>Menu</nav><main><h1>Title of it</h1><p>{0}</p></main><footer>Foot</footer>"])
+def test_form_round_the_page(body):
+    form = f"<form id=aspnetForm>{body.format(PROSE)}</form>"
+    assert htmltext.main_text(f"<body>{form}</body>") == f"Title of it\n\n{PROSE}"
+    assert htmltext.main_text(f"<p>{PROSE}</p><form><p>{PROSE} Field.</p></form>") == PROSE
