@@ -95,3 +95,36 @@ def test_word_counts_are_handed_on_in_parts(spark, documents, monkeypatch):
     want = sorted(secretscan._word_counts(documents(rows)).collect())
     monkeypatch.setattr(secretscan, "MOST_WORDS", 3)
     assert sorted(secretscan._word_counts(documents(rows)).collect()) == want
+
+
+def test_long_words_are_counted_in_proportion(spark, documents):
+    import time
+
+    start = time.monotonic()
+    lexicon = secretscan.lexicon_of(documents([(1, "ab" * 500_000), (2, "abba " * 50 + "\u0447\u0442\u043e \u6587\u7ae0")]))
+    assert time.monotonic() - start < 60
+    pairs = {w: n for w, is_pair, n in secretscan._term_counts(documents([(1, "ab" * 500_000), (2, "abba")])).collect() if is_pair}
+    assert pairs == {"ab": 500_001, "ba": 500_000, "bb": 1}
+    assert lexicon.pairs["ab"] > lexicon.pairs["bb"]
+    assert {p for p in lexicon.pairs if not p.isascii()} == {secretscan.OTHER * 2}
+
+
+def test_pairs_are_those_of_the_words(spark, documents, monkeypatch):
+    texts = ["the words of it", "x" * 150 + "y", "Stra\u00dfe the", None, ""]
+    want = {}
+    for text in texts:
+        for word in secretscan.LETTERS.findall((text or "").lower()):
+            for a, b in zip(word, word[1:]):
+                want[a + b] = want.get(a + b, 0) + 1
+    monkeypatch.setattr(secretscan, "MOST_WORDS", 2)
+    rows = secretscan._term_counts(documents(list(enumerate(texts)))).collect()
+    assert {r["term"]: r["n"] for r in rows if r["is_pair"]} == want
+
+
+def test_long_runs_are_judged_as_a_whole(scanner):
+    """The middle of a run counts: features of a long run differ by what stands between its ends."""
+    head, tail = "aZ3kQ9xB" * 32, "kW2mX7cT" * 32
+    plain, other = (secretscan.features(t, 0, len(t), None, scanner.lexicon) for t in (head + "0" * 600 + tail, head + "the" * 200 + tail))
+    names = dict(zip(secretscan.FEATURES, zip(plain, other)))
+    assert names["digits"][0] > names["digits"][1] and names["entropy"][0] != names["entropy"][1]
+    assert names["dictionary"][1] >= names["dictionary"][0]
