@@ -13,6 +13,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from martlight.llm.base import columns_of, join_rates, key_of, table
 from martlight.session import stable
@@ -58,6 +59,13 @@ def mean_rates(sizes: DataFrame, temperature: float, weights: Mapping[str, float
     )
 
 
+def _hashable(field: T.StructField) -> Column:
+    """The column, or its JSON where it holds what Spark does not hash."""
+    column = F.col(f"`{field.name}`")
+    kind = field.dataType.simpleString()
+    return F.to_json(F.struct(column)) if "map<" in kind or "variant" in kind else column
+
+
 def poisson_mix(
     docs: DataFrame,
     *,
@@ -79,17 +87,23 @@ def poisson_mix(
     a hash of the single copy.
     """
     own = docs.drop("copy", "shuffle_key")
-    keyed = own.withColumn("_key", key_of(by))
+    # The caller's columns travel in one struct, so that none can clash with those made here.
+    rest = F.xxhash64(*(_hashable(f) for f in own.schema)).cast("string")
+    keyed = own.select(
+        F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("row "), rest)).alias("_name"),
+        key_of(by).alias("_key"),
+        F.col(f"`{text_col}`").alias("_text"),
+        F.struct(*(F.col(f"`{c}`") for c in own.columns)).alias("_row"),
+    )
     sizes = stable(
-        keyed.select(F.col("_key").alias("key"), (F.coalesce(F.length(text_col), F.lit(0)) + 1).cast("long").alias("n"))
+        keyed.select(F.col("_key").alias("key"), (F.coalesce(F.length("_text"), F.lit(0)) + 1).cast("long").alias("n"))
         .groupBy("key")
         .agg(F.sum("n").alias("size"))
     )
     rates = mean_rates(sizes, temperature, weights).select(
         F.col("key").alias("_key"), F.col("parts").alias("_parts"), F.col("steps").alias("_steps")
     )
-    rest = F.xxhash64(*(F.col(f"`{c}`") for c in own.columns)).cast("string")
-    name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("row "), rest))
+    name = F.col("_name")
     count = F.aggregate(
         F.sequence(F.lit(1), F.col("_parts")),
         F.lit(0),
@@ -97,7 +111,7 @@ def poisson_mix(
         + F.size(F.filter("_steps", lambda c: c <= _uniform(F.lit(str(seed)), name, i.cast("string")))),
     )
     copies = (
-        join_rates(keyed, rates, "_key", sizes.count())
+        join_rates(keyed.drop("_text"), rates, "_key", sizes.count())
         .withColumn("_count", count)
         .where("_count > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
@@ -105,7 +119,7 @@ def poisson_mix(
     digest = F.md5(F.concat_ws("|", F.lit(f"order {seed}"), name, F.col("copy").cast("string")))
     return (
         copies.select(
-            *(f"`{c}`" for c in own.columns),
+            *(F.col("_row").getField(c).alias(c) for c in own.columns),
             "copy",
             F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("shuffle_key"),
         )

@@ -68,3 +68,17 @@ def test_rows_without_id_are_drawn_one_by_one(spark, documents):
     assert counts.count(0) == pytest.approx(2000 / math.e, rel=0.2) and max(counts) > 2
     assert len({r["shuffle_key"] for r in out}) == len(out)
     assert sorted(map(str, out)) == sorted(map(str, mixing.poisson_mix(docs.repartition(5)).collect()))
+
+
+def test_columns_of_any_name_and_kind_come_back(spark, documents):
+    names = ("_key", "_parts", "_steps", "_count", "_row", "_name", "_salt", "a.b")
+    docs = documents([(i, f"text {i}", f"s{i % 3}") for i in range(60)] + [(None, "no id", "s1")] * 20, extra=names)
+    docs = docs.selectExpr("*", "map('k', doc_id) AS marks")
+    plain = documents([(i, f"text {i}", f"s{i % 3}") for i in range(60)])
+    rows = mixing.poisson_mix(docs).collect()
+    assert all(r[n] == "clash" for r in rows for n in names)
+    assert all(r["marks"] == {"k": r["doc_id"]} for r in rows)
+    # Equal rows without id are drawn alike.
+    assert sum(r["doc_id"] is None for r in rows) % 20 == 0
+    assert {r["doc_id"] for r in rows} >= {r["doc_id"] for r in rows if r["doc_id"] is not None}
+    assert mixing.poisson_mix(plain).columns == [*plain.columns, "copy", "shuffle_key"]
