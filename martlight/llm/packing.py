@@ -11,16 +11,17 @@ Only ids of pieces and lengths are exchanged, never texts or tokens.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from martlight.llm.base import columns_of, map_slices, table
 
@@ -28,7 +29,7 @@ LENGTH = 2048
 END = 1
 #: Remainders packed together; those that leave slack wait for the next window.
 WINDOW = 32_768
-#: Words whose ids a worker remembers.
+#: Words whose ids a worker remembers since its memory was last renewed; as many older ones are kept beside them.
 WORDS = 300_000
 
 
@@ -36,65 +37,86 @@ WORDS = 300_000
 
 #: The pre-tokens of the vocabulary file, as it states them.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: White space at which a text may be cut without any effect on its tokens.
-GAP = re.compile(r"[ \t\n\r]+")
+#: Whether the machine's own unsigned integers are already the bytes that are asked for.
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+#: White space besides the blank at which a text may be cut without any effect on its tokens.
+GAPS = "\t\n\r"
 #: Words of these characters are lower-cased character by character alike everywhere.
 PLAIN = re.compile(r"[\x21-\x7e\xa1-\xac\xae-\xff]+")
 
 
+class Memory(dict):
+    """Values by key, made where they are missing.
+
+    At ``size`` entries a new generation begins; the last one is still asked, so that frequent keys stay while no more
+    than twice ``size`` are held.  It changes no value, only how often one is made anew.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], size: int):
+        super().__init__()
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordEncoder:
     """Ids of a text with the word-ending BPE file: words are encoded once and remembered.
 
     Lower-casing, composition and pre-tokens never reach across white space, so the ids of a text are those of its
     words in a row.  Words of Latin-1 are split here and merged by the library's model; others, and texts that hold a
-    special token, go through the library whole.
+    special token, go through the library whole.  Ids are kept as little-endian unsigned 32-bit bytes, ready to be joined.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.words, self.pieces = Memory(self._word, words), Memory(self._piece, words)
         # Byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = (b for b in range(256) if b not in set(printable))
         self.byte = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            mapped = "".join([self.byte[b] for b in piece.encode()])
-            ids = self.pieces[piece] = tuple([t.id for t in self.model.tokenize(mapped)])
-        return ids
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        if PLAIN.fullmatch(word):
-            lower = unicodedata.normalize("NFC", word).lower()
-            if lower.isalpha():
-                ids = self._piece(lower)
-            else:
-                ids = tuple([i for p in PRE_TOKEN.findall(lower) for i in self._piece(p)])
-        else:
-            ids = tuple(self.whole(word))
-        self.words[word] = ids
-        return ids
+    def whole(self, text: str) -> bytes:
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() else "".join([self.byte[b] for b in piece.encode()])
+        return packed([t.id for t in self.model.tokenize(mapped)])
+
+    def _word(self, word: str) -> bytes:
+        if not word:
+            return b""
+        if not PLAIN.fullmatch(word):
+            return self.whole(word)
+        lower = unicodedata.normalize("NFC", word).lower()
+        if lower.isalpha():
+            return packed([t.id for t in self.model.tokenize(lower)]) if lower.isascii() else self._piece(lower)
+        return b"".join(map(self.pieces.__getitem__, PRE_TOKEN.findall(lower)))
 
     def __call__(self, text: str) -> list[int]:
+        return np.frombuffer(self.joined(text), dtype="<u4").tolist()
+
+    def joined(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self.whole(text)
-        if len(self.words) > WORDS or len(self.pieces) > WORDS:
-            self.words, self.pieces = {}, {}
-        known, out = self.words.get, []
-        for word in GAP.split(text):
-            if word:
-                out += known(word) or self._word(word)
-        return out
+        for gap in GAPS:
+            text = text.replace(gap, " ")
+        return b"".join(map(self.words.__getitem__, text.split(" ")))
+
+
+def packed(ids: Sequence[int]) -> bytes:
+    return array("I", ids).tobytes() if LITTLE else np.array(ids, dtype="<u4").tobytes()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -107,23 +129,23 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def pieces_of(docs: DataFrame, encode: Callable[[], Callable[[str], list[int]]], length: int = LENGTH, end: int = END,
+def pieces_of(docs: DataFrame, encode: Callable[[], WordEncoder], length: int = LENGTH, end: int = END,
               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, row_no, doc_tokens, crcs``: checksums of the pieces of ``length`` ids and of the remainder.
 
-    ``encode`` makes the encoder in the worker.  The row number is that of the task; it only spreads repeated rows.
+    ``encode`` makes the encoder in the worker; it gives the ids of a text as bytes.  The row number is that of the task; it only spreads repeated rows.
     """
 
     def start():
-        ids_of, row = encode(), 0
+        ids_of, row, step, last = encode().joined, 0, 4 * length, packed([end])
 
         def handle(columns):
             nonlocal row
             tokens, crcs = [], []
             for text in columns[1]:
-                ids = np.array([*(ids_of(text) if text else ()), end], dtype="<u4")
-                tokens.append(len(ids))
-                crcs.append([zlib.crc32(ids[at : at + length].tobytes()) for at in range(0, len(ids), length)])
+                ids = memoryview((ids_of(text) if text else b"") + last)
+                tokens.append(len(ids) // 4)
+                crcs.append([zlib.crc32(ids[at : at + step]) for at in range(0, len(ids), step)])
             rows = list(range(row, row + len(tokens)))
             row += len(tokens)
             return [columns[0], rows, tokens, crcs]

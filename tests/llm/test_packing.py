@@ -109,3 +109,12 @@ def test_odd_rows(spark, documents, odd_rows):
     assert {r["doc_id"] for r in empty} == {1, 2, 3, None}
     assert sum(r["doc_id"] == 5 for r in out) == 2
     assert packing.pack_documents(documents([])).count() == 0
+
+
+def test_memory_forgets_without_changing_ids(tokenizer):
+    encode = packing.WordEncoder(PATH, words=7)
+    rng = random.Random(3)
+    for _ in range(50):
+        text = rng.choice(" \n\t").join(rng.choice(("the", "don't", "Straße", "x9", "", "end.", "ÅB", "日本")) + "a" * rng.randrange(4) for _ in range(40))
+        assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encode.words) <= 7 and len(encode.words.older) <= 7
