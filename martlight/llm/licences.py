@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -137,7 +138,11 @@ class Weights:
         return sorted(cues)
 
     def cue_pattern(self) -> str:
-        return r"(?<![a-z0-9])(?:" + "|".join(self.cues()) + r")(?![a-z0-9])"
+        return any_of(self.cues())
+
+
+def any_of(terms: Iterable[str]) -> str:
+    return r"(?<![a-z0-9])(?:" + "|".join(sorted(terms)) + r")(?![a-z0-9])"
 
 
 def _held(files: DataFrame) -> tuple[int, dict[str, int]]:
@@ -223,7 +228,7 @@ def scan_licences(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "
     ``origin`` is ``declared`` (``score`` is the cosine), ``inherited`` (``from_dir`` is the directory it comes from) or
     ``none``.  Of several licences in a file or directory the higher cosine wins, then the name first in order.  Null
     texts state nothing, a null path has no directory, and the top directory is the empty path.  Rows with one id and
-    path are one file.  Directories find their nearest licence before files meet them, so that deep or full directories
+    path are one file; of its texts, those without any term that a licence needs are passed over.  Directories find their nearest licence before files meet them, so that deep or full directories
     repeat no file; a directory that holds a third of the files is joined by :func:`join_rates`.
     """
     own = columns_of(files, {"id": id_col, "path": path_col, "text": text_col})
@@ -234,12 +239,18 @@ def scan_licences(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "
         names = F.array(*(F.lit(n) for n, _ in templates))
         return near.withColumn("licence", F.element_at(names, F.col("template") + 1)).withColumn("kind", F.lit(kind))
 
+    # Texts with a term that a line, window or sentence needs are written once; the others are never exchanged.
+    by_notice = Weights.of(*held, NOTICE_COUNTS)
+    is_file = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE), F.lit(False))
+    cued = stable(
+        own.withColumn("is_file", is_file).where(F.col("is_file") | F.lower("text").rlike(any_of({*weights.cues(), *by_notice.cues()})))
+    )
     # Kind 1: lines, 0: windows and sentences, 2: whole files, which decide where there are any.
-    parts = named(headers(own, weights), TEMPLATES, 1).unionByName(named(notices(own, Weights.of(*held, NOTICE_COUNTS)), NOTICES, 0))
+    parts = named(headers(cued, weights), TEMPLATES, 1).unionByName(named(notices(cued, by_notice), NOTICES, 0))
     parts = stable(parts)
     marked = parts.select(F.col("id").alias("_id"), F.col("path").alias("_path")).distinct()
-    some = own.join(marked, F.col("id").eqNullSafe(F.col("_id")) & F.col("path").eqNullSafe(F.col("_path")), "left_semi")
-    some = some.unionByName(own.where(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE))).distinct()
+    some = cued.join(marked, F.col("id").eqNullSafe(F.col("_id")) & F.col("path").eqNullSafe(F.col("_path")), "left_semi")
+    some = some.unionByName(cued.where("is_file")).select("id", "path", "text").distinct()
     whole = _near(some.withColumn("line_no", F.lit(0)).withColumnRenamed("text", "line"), Weights.of(*held, TEXT_COUNTS), LEAST_FILE)
     near = parts.unionByName(named(whole, TEXTS, 2))
     best = F.struct(F.col("kind") == 2, "cosine", "kind", -F.col("template"))
