@@ -157,25 +157,39 @@ def weigh(files: DataFrame) -> Weights:
     return Weights.of(*_held(files))
 
 
-def _template_terms(spark: SparkSession, weights: Weights) -> DataFrame:
-    """``term, template, weight``: as many rows as the templates have terms."""
-    rows = [(t, i, weights.idf[t] * w) for i, unit in enumerate(weights.units) for t, w in unit.items()]
-    return spark.createDataFrame(rows, "term string, template int, weight double")
+def _known_terms(spark: SparkSession, weights: Weights) -> DataFrame:
+    """``term, idf, templates``: a row for each of the templates' terms, with its weight in each of them."""
+    held: dict[str, list] = {t: [] for t in weights.idf}
+    for i, unit in enumerate(weights.units):
+        for t, w in unit.items():
+            held[t].append((i, weights.idf[t] * w))
+    schema = "term string, idf double, templates array<struct<template: int, value: double>>"
+    return spark.createDataFrame([(t, idf, held[t]) for t, idf in weights.idf.items()], schema)
 
 
 def _near(units: DataFrame, weights: Weights, least: float) -> DataFrame:
-    """``id, path, line_no, template, cosine`` of the ``units`` (id, path, line_no, line) near a template."""
-    spark, key = units.sparkSession, ["id", "path", "line_no"]
-    terms = units.select(*key, F.explode(F.regexp_extract_all(F.lower("line"), F.lit(TERM), 0)).alias("term"))
+    """``id, path, line_no, template, cosine`` of the ``units`` (id, path, line_no, line) near a template.
+
+    Units are exchanged once, by their key; terms are counted and summed where they lie.  The squared norm is summed
+    beside the products with the templates, as that of number -1.
+    """
+    key = ["id", "path", "line_no"]
+    terms = units.repartition(*key).select(*key, F.explode(F.regexp_extract_all(F.lower("line"), F.lit(TERM), 0)).alias("term"))
     counted = terms.groupBy(*key, "term").agg(F.count("*").cast("double").alias("n"))
-    # The templates' terms are a few thousand rows whatever the files.
-    known = F.broadcast(spark.createDataFrame(list(weights.idf.items()), "term string, idf double"))
-    idf = F.coalesce("idf", F.lit(weights.other))
-    norms = counted.join(known, "term", "left").groupBy(*key).agg(F.sqrt(F.sum(F.pow(F.col("n") * idf, 2.0))).alias("norm"))
-    dots = counted.join(F.broadcast(_template_terms(spark, weights)), "term").groupBy(*key, "template").agg(F.sum(F.col("n") * F.col("weight")).alias("dot"))
-    same = (F.col("d.id").eqNullSafe(F.col("n.id")) & F.col("d.path").eqNullSafe(F.col("n.path")) & (F.col("d.line_no") == F.col("n.line_no")))
-    near = dots.alias("d").join(norms.alias("n"), same).select("d.id", "d.path", "d.line_no", "template", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
-    return near.where(F.col("cosine") >= least)
+    # The templates' terms are about a thousand rows whatever the files.
+    known = counted.join(F.broadcast(_known_terms(units.sparkSession, weights)), "term", "left")
+    square = F.pow(F.col("n") * F.coalesce("idf", F.lit(weights.other)), 2.0)
+    products = F.transform(
+        F.coalesce("templates", F.expr("array()")), lambda t: F.struct(t["template"].alias("template"), (F.col("n") * t["value"]).alias("value"))
+    )
+    parts = F.concat(F.array(F.struct(F.lit(-1).alias("template"), square.alias("value"))), products)
+    sums = known.select(*key, F.explode(parts).alias("part")).groupBy(*key, "part.template").agg(F.sum("part.value").alias("value"))
+    of_unit = sums.groupBy(*key).agg(
+        F.sqrt(F.max(F.when(F.col("template") < 0, F.col("value")))).alias("norm"),
+        F.collect_list(F.when(F.col("template") >= 0, F.struct("template", "value"))).alias("dots"),  # one for each template
+    )
+    each = of_unit.select(*key, "norm", F.explode("dots").alias("dot"))
+    return each.select(*key, "dot.template", F.round(F.col("dot.value") / F.col("norm"), 6).alias("cosine")).where(F.col("cosine") >= least)
 
 
 def headers(files: DataFrame, weights: Weights) -> DataFrame:
