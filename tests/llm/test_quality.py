@@ -1,4 +1,6 @@
 import base64
+import glob
+import os
 import random
 import string
 
@@ -83,3 +85,42 @@ def test_no_clean_document_is_under_its_limit(spark):
     rows = quality.op3_compression_quality(spark, "/root/testdata/sf0.1").where("n_words >= 10")
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").selectExpr("doc_id", "octet_length(text) AS size")
     assert [r for r in rows.join(docs, "doc_id").collect() if r["ratio"] < quality.band(r["size"])[0]] == []
+
+
+RUSSIAN = (
+    "Утром над рекой поднялся густой туман, и паром долго не мог отойти от берега. Старый лодочник сидел на перевёрнутом "
+    "ящике, курил и рассказывал приезжим, как прежде возили через воду сено, лошадей и почту. Никто его не торопил: дорога "
+    "была размыта дождями, мост обещали построить к осени, а в деревне за рекой ждали только врача да новую учительницу."
+)
+CHINESE = (
+    "清晨的市场还没有完全醒来，卖豆腐的老人已经把木板摆好，慢慢擦着上面的水。街角的面馆冒出白色的热气，几个学生背着书包站在门口等座位。"
+    "雨停了以后，石板路很滑，送货的三轮车走得特别小心。一位妇女从二楼的窗口放下篮子，请楼下的人替她买两斤青菜和一块姜。"
+    "人们互相问候，谈论昨天晚上的戏，也谈论河水涨到了哪一级台阶。中午以前，这里会变得非常热闹，到了下午又安静下来，只剩下猫在墙上睡觉。"
+)
+
+
+def test_other_scripts_stay_at_every_length(spark, documents):
+    texts = [part[:n] for part in (RUSSIAN, CHINESE) for n in (60, 120, 200, 400)]
+    rows = quality.quality_rules(documents(list(enumerate(texts)))).collect()
+    compressor = quality.zstandard.ZstdCompressor(level=quality.LEVEL)
+    assert all(r["kept"] for r in rows if not r["base_failed"])
+    assert all(quality.compression(t, compressor)[2] for t in texts)
+
+
+def test_noise_in_other_scripts_goes():
+    rng = random.Random(5)
+    compressor = quality.zstandard.ZstdCompressor(level=quality.LEVEL)
+    for first, last in ((0x4E00, 0x9FA5), (0xAC00, 0xD7A3)):
+        for n in (1200, 4000, 40_000):
+            text = "".join(chr(rng.randint(first, last)) for _ in range(n))
+            assert not quality.compression(text, compressor)[2]
+
+
+def test_source_code_stays():
+    # Subpackages of the standard library; the bands were set beside modules at its top.
+    paths = sorted(glob.glob(os.path.join(os.path.dirname(os.__file__), "[a-z]*", "*.py")))
+    paths = [p for p in paths if "packages" not in p and "test" not in p and "encodings" not in p]
+    compressor = quality.zstandard.ZstdCompressor(level=quality.LEVEL)
+    texts = [open(p, encoding="utf-8", errors="replace").read() for p in paths]
+    passed = [quality.compression(t, compressor)[2] for t in texts if len(t.split()) >= 10]
+    assert len(passed) > 200 and sum(passed) >= 0.98 * len(passed)
