@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, fields
 from functools import reduce
@@ -63,13 +64,20 @@ def _csv_reader(spark: SparkSession, name: str):
     return spark.read.options(header=True, multiLine=name in MULTI_LINE, escape='"')
 
 
-def read_commerce(spark: SparkSession, path: str, fmt: str = "parquet", as_text: bool = False) -> Marketplace:
+def read_commerce(
+    spark: SparkSession, path: str, fmt: str = "parquet", as_text: bool = False, most_corrupt: float | None = 0.01
+) -> Marketplace:
     """Read the nine tables with their fixed schemas (no inference).
 
-    A CSV cell that does not fit its type becomes null; :func:`corrupt_rows` counts such rows, and ``as_text`` reads
-    every CSV column as it is written.
+    A CSV cell that does not fit its type becomes null.  If more than ``most_corrupt`` of a table's rows hold such a cell,
+    reading fails; None saves the scan that counts them.  ``as_text`` reads every CSV column as it is written.
     """
     check_inputs(spark, [table_path(path, name, fmt) for name in TABLES])
+    if fmt == "csv" and not as_text and most_corrupt is not None:
+        wrong = corrupt_rows(spark, path).where(F.col("corrupt_rows") > most_corrupt * F.col("rows")).collect()
+        if wrong:
+            found = ", ".join(f"{r['table']} ({r['corrupt_rows']} of {r['rows']} rows)" for r in wrong)
+            raise ValueError("Cells that do not fit their type in: " + found)
     tables = {}
     for name in TABLES:
         schema = struct_of(name)
@@ -118,11 +126,47 @@ def require_columns(df: DataFrame, columns: Iterable[str], what: str = "table")
 
 
 def load_tables(dfs: Mapping[str, DataFrame], target: str, mode: str = "overwrite") -> None:
-    """Store each table as parquet under ``target``.  Appending twice stores rows twice."""
+    """Store each table as parquet under ``target``.  Appending twice stores rows twice; :func:`append_batch` does not."""
     for name, df in dfs.items():
         df.write.mode(mode).parquet(f"{target.rstrip('/')}/{name}")
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The Hadoop path of ``path`` and its file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def append_batch(dfs: Mapping[str, DataFrame], target: str, batch: str) -> bool:
+    """Store a batch of rows under ``target`` once; False if ``batch`` was stored before.
+
+    Each table is written to a folder of the batch, and a marker is created last: :func:`read_batches` sees all tables of a
+    batch or none.  A batch that failed midway is written anew when it is sent again.  One writer per batch is assumed.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", batch):
+        raise ValueError(f"A batch is named by letters, digits, _ and -, not {batch!r}")
+    spark = next(iter(dfs.values())).sparkSession
+    root = target.rstrip("/")
+    marker, files = _file_system(spark, f"{root}/_batches/{batch}")
+    if files.exists(marker):
+        return False
+    for name, df in dfs.items():
+        df.write.mode("overwrite").parquet(f"{root}/{name}/batch-{batch}")
+    return bool(files.createNewFile(marker))
+
+
+def read_batches(spark: SparkSession, target: str, name: str) -> DataFrame:
+    """The rows of table ``name`` in all stored batches under ``target``."""
+    root = target.rstrip("/")
+    folder, files = _file_system(spark, f"{root}/_batches")
+    stored = sorted(f.getPath().getName() for f in files.listStatus(folder)) if files.exists(folder) else []
+    paths = [f"{root}/{name}/batch-{batch}" for batch in stored]
+    held = [path for path in paths if files.exists(_file_system(spark, path)[0])]
+    if not held:
+        raise FileNotFoundError(f"No stored batch holds {name} under {target}")
+    return spark.read.parquet(*held)
+
+
 def reconcile_counts(source: Mapping[str, DataFrame], stored: Mapping[str, DataFrame]) -> DataFrame:
     """Source rows against stored rows per table."""
     report = None

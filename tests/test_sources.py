@@ -120,6 +120,9 @@ def test_unreadable_cells_are_counted(spark, tmp_path):
     target.write_text("\n".join([lines[0], ",".join(cells), *lines[2:]]) + "\n")
     bad = {r["table"]: (r["rows"], r["corrupt_rows"]) for r in s.corrupt_rows(spark, folder).collect()}
     assert bad["orders"] == (good["orders"][0], 1) and bad["sellers"] == good["sellers"]
+    with pytest.raises(ValueError, match="orders .1 of"):
+        s.read_commerce(spark, folder, "csv", most_corrupt=0.0)
+    assert s.read_commerce(spark, folder, "csv", most_corrupt=None).orders.count() == good["orders"][0]
     raw = s.read_commerce(spark, folder, "csv", as_text=True).items()
     report = timestamp_report({t: raw[t] for t in TIMESTAMP_COLUMNS}).where("table_name = 'orders'").collect()
     assert {r["column_name"]: r["invalid"] for r in report}["order_purchase_timestamp"] == 1
@@ -130,3 +133,29 @@ def test_lost_rows_are_reported(spark, star, tmp_path):
     assert not (tmp_path / "copy").exists()
     stored = {"sellers": star.sellers.limit(3)}
     assert not s.reconcile_counts({"sellers": star.sellers}, stored).head()["match"]
+
+
+def test_batch_sent_twice_is_stored_once(spark, star, tmp_path):
+    target, batch = str(tmp_path), {"sellers": star.sellers, "products": star.products}
+    with pytest.raises(FileNotFoundError):
+        s.read_batches(spark, target, "sellers")
+    assert s.append_batch(batch, target, "day-1")
+    assert not s.append_batch(batch, target, "day-1")
+    assert s.read_batches(spark, target, "sellers").count() == star.sellers.count()
+    assert s.append_batch({"sellers": star.sellers.limit(3)}, target, "day-2")
+    assert s.read_batches(spark, target, "sellers").count() == star.sellers.count() + 3
+    assert s.read_batches(spark, target, "products").columns == star.products.columns
+    with pytest.raises(ValueError, match="batch"):
+        s.append_batch(batch, target, "../day")
+
+
+def test_batch_that_fails_midway_is_not_seen(spark, star, tmp_path):
+    target = str(tmp_path)
+    assert s.append_batch({"sellers": star.sellers}, target, "a")
+    broken = star.products.withColumn("x", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        s.append_batch({"sellers": star.sellers, "products": broken}, target, "b")
+    assert s.read_batches(spark, target, "sellers").count() == star.sellers.count()
+    assert s.append_batch({"sellers": star.sellers, "products": star.products}, target, "b")
+    assert s.read_batches(spark, target, "sellers").count() == 2 * star.sellers.count()
+    assert s.read_batches(spark, target, "products").count() == star.products.count()
