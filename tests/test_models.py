@@ -140,3 +140,18 @@ def test_segmentation_finds_separated_groups(spark):
     assert model.k == 2 and max(model.silhouette.values()) > 0.9
     sizes = s.assign_segments(model, features).groupBy("segment").count().collect()
     assert sorted(r["count"] for r in sizes) == [60, 60]
+
+
+def test_starts_side_by_side_overlap_and_equal_single_ones(spark, monkeypatch):
+    import threading
+
+    rows = [(float(i % 5 * 10 + i % 3), float(i % 5 * 7)) for i in range(200)]
+    df = s.VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(spark.createDataFrame(rows, "x double, y double"))
+    scaled = s.for_fitting(df).persist()
+    assert scaled.rdd.getNumPartitions() == 1 and s.for_fitting(df.repartition(6), rows=50).rdd.getNumPartitions() == 4
+    meet, fit = threading.Barrier(2, timeout=60), s.KMeans.fit
+    one = s.fit_kmeans(scaled, [2, 5], restarts=2, parallel=1)
+    monkeypatch.setattr(s.KMeans, "fit", lambda self, data: (meet.wait(), fit(self, data))[1])
+    two = s.fit_kmeans(scaled, [2, 5], restarts=2, parallel=2)
+    for k in (2, 5):
+        assert [c.tolist() for c in one[k].clusterCenters()] == [c.tolist() for c in two[k].clusterCenters()]
