@@ -177,3 +177,16 @@ def test_similarity_bounds_and_neighbours(train):
     assert similar.where("src = dst").isEmpty()
     best = r.neighbour_lists(similar, 3).head()["neighbours"]
     assert len(best) <= 3 and best == sorted(best, key=lambda e: (-e["jaccard"], e["product_id"]))
+
+
+def test_rows_of_a_task_do_not_grow_with_the_input(spark, items, lines, monkeypatch):
+    """With 50 rows a task the pairs are cut finer than the session's four tasks, and stay the same."""
+    want = {tuple(r) for r in p.co_purchase_pairs(p.baskets(items)).collect()}
+    monkeypatch.setattr(p, "TASK_ROWS", 50)
+    basket = p.baskets(items)
+    parts = p.pair_parts(basket)
+    pairs = p.co_purchase_pairs(basket)
+    both = p.with_frequencies(pairs, p.product_frequency(basket), parts)
+    assert parts > 4 and pairs.rdd.getNumPartitions() == parts and both.rdd.getNumPartitions() == parts
+    assert {tuple(r) for r in pairs.collect()} == want
+    assert {(r["product_a"], r["product_b"], r["co_purchase_orders"]) for r in both.collect()} == want
