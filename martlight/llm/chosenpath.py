@@ -14,6 +14,8 @@ still together at depth ``DEEPEST`` is compared exhaustively in blocks, so nothi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -245,15 +247,16 @@ def _branched(rows: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return map_slices(one.join(paths, "node").select("node", "text", "keys", "places"), handle, "key long, place long, node long")
 
 
-def links(texts: DataFrame, signed: DataFrame, *, size: int, least: int = 80) -> DataFrame:
+def links(texts: DataFrame, signed: DataFrame, *, size: int, least: int = 80, first: DataFrame | None = None) -> DataFrame:
     """``a, b``: verified links between different texts, enough to connect all texts that links connect.
 
-    ``texts`` has ``node, text``, repeated nodes allowed; ``signed`` one row per node from :func:`signed_nodes`.
+    ``texts`` has ``node, text``, repeated nodes allowed; ``signed`` one row per node from :func:`signed_nodes`.  Pairs
+    ``first``, found by another method, are verified before those of the tree.
     """
     paths = signed.select("node", F.posexplode("keys").alias("path", "key"))
     tree, leaf = F.floor(F.col("path") / _LEAVES).cast("long"), (F.col("path") % _LEAVES).cast("long")
     members = paths.select("key", (tree * F.lit(1 << 48) + _LEAVES + leaf).alias("place"), "node")
-    found: DataFrame | None = None
+    found = _verified(first, texts, size, least) if first is not None else None
     for depth in range(DEPTH, DEEPEST + 1):
         rows = stable(_led(members))
         led = _verified(_candidates(rows.select("node", F.col("leader").alias("other")), signed, least), texts, size, least)
@@ -273,7 +276,8 @@ def links(texts: DataFrame, signed: DataFrame, *, size: int, least: int = 80) ->
 
 
 def similar_sets(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 2, least: int = 80, link_empty: bool = False
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 2, least: int = 80, link_empty: bool = False,
+    first: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id``: one row per row of ``docs``.
 
@@ -282,14 +286,15 @@ def similar_sets(
     with each other if ``link_empty``.  Equal texts are one member of the join (64-bit hash of the text), so copies
     cost one row each; a text that a third of all documents share is summed and joined back per salt.  Null ids
     are left out of the minimum; a component without any id is null.  Repeated rows come back repeated.  Other columns
-    are ignored, so their names cannot clash.
+    are ignored, so their names cannot clash.  ``first`` gives pairs ``a, b`` of ``node, text`` rows, which are verified ahead.
     """
     own = columns_of(docs, {"doc_id": id_col, "text": text_col}).withColumn("text", F.coalesce("text", F.lit("")))
     own = own.withColumn("node", F.xxhash64("text"))
     salted = own.select("doc_id", "node", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int").alias("salt"))
     signed = signed_nodes(own.select("node", "text"), size)
     signed = stable(signed.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", *_SKETCH, "keys"))))
-    found = links(own.select("node", "text"), signed, size=size, least=least)
+    texts = own.select("node", "text")
+    found = links(texts, signed, size=size, least=least, first=first(texts) if first else None)
     if link_empty:
         empty = signed.where("n = 0").select("node")
         found = found.unionByName(empty.select(F.col("node").alias("a"), F.lit(empty.agg(F.min("node")).first()[0]).cast("long").alias("b")))

@@ -126,14 +126,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return docs_fp.join(by_part, ["fp", "salt"]).select("doc_id", "fp", "component_id")
 
 
+def fingerprint_pairs(texts: DataFrame) -> DataFrame:
+    """``a, b``: pairs of ``node, text`` rows whose fingerprints are linked, as stars around one text per fingerprint."""
+    fps = stable(fingerprints(texts, id_col="node").toDF("node", "fp").distinct())
+    one = stable(fps.groupBy("fp").agg(F.min("node").alias("b")))
+    equal = fps.join(one, "fp").where("node <> b").select(F.col("node").alias("a"), "b")
+    near = links(one.select("fp")).toDF("fp", "other")
+    near = near.join(one.toDF("fp", "a"), "fp").join(one.toDF("other", "b"), "other").select("a", "b")
+    return equal.unionByName(near)
+
+
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their component of near copies: the one with its smallest id.
 
-    Near copies share 0.8 of their five-word shingles (:mod:`nearcopies`); two bits of :func:`near_duplicates` are the
-    contract of op2 and find little more than equal texts.  Of rows with the same id one stays, the first by a hash of the row.  Rows without id cannot be named by a
+    Near copies share 0.8 of their five-word shingles (:mod:`nearcopies`).  Pairs within two bits of SimHash are the first
+    to be verified; these find little more than equal texts, so chosen paths look for what they miss.  Of rows with the same id one stays, the first by a hash of the row.  Rows without id cannot be named by a
     component and are kept as they are.
     """
-    classes = near_copies(docs.where(F.col(f"`{id_col}`").isNotNull()), id_col=id_col, text_col=text_col)
+    classes = near_copies(docs.where(F.col(f"`{id_col}`").isNotNull()), id_col=id_col, text_col=text_col, first=fingerprint_pairs)
     kept = classes.where("doc_id = component_id").select("doc_id").distinct()
     # The row is nested, so that no name of its columns can clash.
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"))

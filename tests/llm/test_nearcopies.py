@@ -64,3 +64,16 @@ def test_every_pair_of_the_table_is_found(spark):
     found = dict(nearcopies.near_copies(docs).collect())
     pairs = [(a, b) for i, (a, x) in enumerate(texts) for b, y in texts[:i] if len(x & y) >= 0.8 * len(x | y)]
     assert pairs and all(found[a] == found[b] for a, b in pairs)
+
+
+def test_fingerprints_give_the_first_pairs_and_all_are_verified(spark, documents, monkeypatch):
+    """The class of near copies whose fingerprints lie within two bits is linked by SimHash, and only where full sets agree."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(words[::-1]), ""]
+    seen = []
+    inner = simhash.fingerprint_pairs
+    monkeypatch.setattr(simhash, "fingerprint_pairs", lambda rows: seen.append(inner(rows)) or seen[-1])
+    kept = simhash.keep_one(documents(list(enumerate(texts))))
+    assert {r["doc_id"] for r in kept.collect()} == {0, 2, 3}
+    nodes = [r[0] for r in spark.createDataFrame([(t,) for t in texts[:2]], "t string").selectExpr("xxhash64(t)").collect()]
+    assert {frozenset(r) for r in seen[0].collect()} == {frozenset(nodes)}
