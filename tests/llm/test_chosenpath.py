@@ -89,6 +89,23 @@ def test_crowd_of_near_copies_is_one_component(spark, documents):
     assert found(documents(rows), size=5) == want and len({c for _, c in want.values()}) > 10
 
 
+def test_a_crowd_is_verified_with_few_leaders(spark, documents, monkeypatch):
+    """Pairs grow with the crowd, not with the crowd times its nodes, and classes are carried on without old links."""
+    pairs, verified = [], chosenpath._verified
+    monkeypatch.setattr(chosenpath, "_verified", lambda p, *a: pairs.append(p.distinct().count()) or verified(p, *a))
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(900)]
+    base = rng.choices(words, k=200)
+    rows = []
+    for i in range(400):
+        text = list(base)
+        text[rng.randrange(200)] = rng.choice(words)
+        rows.append((i, " ".join(text)))
+    got = found(documents(rows))
+    assert {c for _, c in got.values()} == {0}
+    assert 390 <= sum(pairs) <= 2 * 400
+
+
 def test_unrelated_texts_that_share_passages_branch(spark, documents, monkeypatch):
     """Many documents around a common passage: nodes are too large to be compared and go down the tree."""
     depths = []
