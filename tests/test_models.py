@@ -5,6 +5,7 @@ from math import factorial
 
 import numpy as np
 import pytest
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from martlight.operators.impute import clean_numeric, impute_median, split_valid, validate_scoring_input
@@ -67,6 +68,14 @@ def test_scores_are_not_negative_and_keep_rows(fitted, star):
     assert v.importance(fitted[0]).count() == len(v.FEATURES)
 
 
+def test_trees_keep_no_node_table_and_are_the_same(star, monkeypatch):
+    data = v.stable(v.modelling_set(star))
+    model = v.fit_clv(data, trees=2, depth=3).trees
+    assert not model.getCacheNodeIds()
+    monkeypatch.setattr(v, "GBTRegressor", lambda **options: GBTRegressor(**options | {"cacheNodeIds": True}))
+    assert v.fit_clv(data, trees=2, depth=3).trees.toDebugString.split("\n")[1:] == model.toDebugString.split("\n")[1:]
+
+
 def test_attribution_adds_up(fitted):
     model, scored = fitted
     rows = a.attribute(model, scored).withColumn(
