@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlight.llm.base import columns_of, map_slices, table
+from martlight.llm.base import columns_of, map_slices, map_texts, table, worker_store
 from martlight.session import stable
 
 PIECE = 32
@@ -205,11 +205,11 @@ class WordScores:
         return out
 
 
-_SCORES: dict[int, WordScores] = {}
+_SCORES: dict[int, WordScores] = worker_store("langid")
 
 
 def scores_of(model: ByteGRU) -> WordScores:
-    """The worker's own store for a model; it outlives a task."""
+    """The worker's own store for a model; it outlives a task, but not the operator's last one."""
     stamp = model.stamp()
     if stamp not in _SCORES:
         _SCORES.clear()
@@ -276,7 +276,7 @@ def identify(docs: DataFrame, model: ByteGRU, *, id_col: str = "doc_id", text_co
         return [columns[0], [f[0] for f in found], [f[1] for f in found]]
 
     texts = columns_of(docs, {"doc_id": id_col, "text": text_col})
-    return map_slices(texts, handle, "doc_id long, lang_pred string, score double")
+    return map_slices(texts, handle, "doc_id long, lang_pred string, score double", operator="langid")
 
 
 def keep_known(docs: DataFrame, model: ByteGRU, *, least: float = 0.4, text_col: str = "text") -> DataFrame:
@@ -299,7 +299,8 @@ def keep_known(docs: DataFrame, model: ByteGRU, *, least: float = 0.4, text_col:
                 out = pa.RecordBatch.from_arrays([*part.columns, langs], names=[*names, "lang"])
                 yield out.filter(keep)
 
-    return docs.select(*(f"`{c}`" for c in names)).mapInArrow(run, schema).select(*(f"`{c}`" for c in docs.columns))
+    kept = map_texts(docs.select(*(f"`{c}`" for c in names)), run, schema, "langid")
+    return kept.select(*(f"`{c}`" for c in docs.columns))
 
 
 def op8_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from martlight.llm.base import columns_of, map_slices, table
+from martlight.llm.base import columns_of, map_slices, table, worker_store
 
 LENGTH = 2048
 END = 1
@@ -119,7 +119,7 @@ def packed(ids: Sequence[int]) -> bytes:
     return array("I", ids).tobytes() if LITTLE else np.array(ids, dtype="<u4").tobytes()
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, WordEncoder] = worker_store("packing")
 
 
 def encoder(path: str) -> WordEncoder:
@@ -153,7 +153,7 @@ def pieces_of(docs: DataFrame, encode: Callable[[], WordEncoder], length: int =
         return handle
 
     texts = columns_of(docs, {"doc_id": id_col, "text": text_col})
-    return map_slices(texts, None, "doc_id long, row_no long, doc_tokens long, crcs array<long>", start=start)
+    return map_slices(texts, None, "doc_id long, row_no long, doc_tokens long, crcs array<long>", start=start, operator="packing")
 
 
 # --- minimum bin slack ------------------------------------------------------

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlight.llm.base import columns_of, map_slices, table
+from martlight.llm.base import columns_of, map_slices, map_texts, table
 from martlight.session import stable
 
 # Names of credentials and of harmless values of a like shape.
@@ -328,7 +328,7 @@ def _term_counts(docs: DataFrame) -> DataFrame:
                     counts.clear()
         yield from rows(counts)
 
-    counted = docs.select("text").mapInArrow(run, "term string, is_pair boolean, n long")
+    counted = map_texts(docs.select("text"), run, "term string, is_pair boolean, n long")
     return counted.groupBy("term", "is_pair").agg(F.sum("n").alias("n"))
 
 
@@ -407,7 +407,7 @@ def mask(docs: DataFrame, scanner: Scanner, *, text_col: str = "text", path_col:
                 columns[text_at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)
 
 
 def op4_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,3 +173,27 @@ def test_query_over_the_whole_table(spark):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in chosenpath.op13_chosen_path(spark, folder).collect()}
     assert got == {i: (n, c, i == c) for i, (n, c) in want.items()}
     assert docs.where(F.col("doc_id").isNull()).isEmpty()
+
+
+def test_a_crowd_with_distant_ends_is_not_compared_pairwise(spark, documents, monkeypatch):
+    """A crowd around one text whose outer members are linked through others only: few pairs are left for the last step."""
+    left, exhaustive = [], chosenpath._exhaustive
+    monkeypatch.setattr(chosenpath, "_exhaustive", lambda *a: left.append(exhaustive(*a).count()) or exhaustive(*a))
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(900)]
+    base = rng.choices(words, k=120)
+    rows = []
+    for i in range(400):
+        text = list(base)
+        for _ in range(rng.choice([1, 3, 5, 6])):
+            text[rng.randrange(120)] = rng.choice(words)
+        rows.append((i, " ".join(text)))
+    assert found(documents(rows)) == brute(rows)
+    assert sum(left) <= 2000, left
+
+
+def test_short_edge_lists_stay_in_one_partition(spark):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(200)], "a long, b long").repartition(7)
+    roots = chosenpath.components(edges)
+    assert roots.rdd.getNumPartitions() == 1
+    assert {(r["node"], r["root"]) for r in roots.collect()} == {(i, 0) for i in range(1, 201)}
