@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from martlight.llm.base import columns_of, map_slices, table
 from martlight.llm.components import components
-from martlight.session import settled, stable, sweep
+from martlight.session import settled, stable
 
 SEED = 42
 TREES = 4
@@ -305,9 +305,7 @@ def links(texts: DataFrame, signed: DataFrame, *, size: int, least: int = 80, fi
     forest = texts.sparkSession.createDataFrame([], "a long, b long")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        found = _contracted(forest, _verified(pairs, texts, size, least))
-        sweep(texts.sparkSession)
-        return found
+        return _contracted(forest, _verified(pairs, texts, size, least))
 
     if first is not None:
         forest = verified(first)
