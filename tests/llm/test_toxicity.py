@@ -146,3 +146,27 @@ def test_thresholds_without_documents_are_one_half():
     assert model.limit == 0.5
     toxicity._calibrate(model, [toxicity.word_codes("one word")], np.zeros(1))
     assert model.limit == 0.5 and model.limits == {"en": 0.5}
+
+
+def test_all_labelled_documents_are_learnt(spark, documents, monkeypatch):
+    learnt = []
+    monkeypatch.setattr(toxicity, "train", lambda docs, y, lang: learnt.extend(zip(map(len, docs), y)) or toxicity.TextCNN.fresh(["en"]))
+    table = spark.range(10_000).selectExpr("id as doc_id", "'some words' as text", "'en' as lang")
+    table = table.unionByName(spark.sql("select 10000l as doc_id, repeat('one more ', 3000) as text, 'en' as lang"))
+    toxicity.fit(table, table.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"))
+    assert len(learnt) == 10_001 and sum(y for _, y in learnt) == 5000 and (6000, 0) in learnt
+
+
+def test_parts_learn_together(spark, documents, monkeypatch):
+    docs, labels, tongues = corpus(900, 2, ("en", "fr"))
+    table = spark.createDataFrame(list(zip(range(900), docs, tongues)), "doc_id long, text string, lang string").repartition(5)
+    marks = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    for name, value in (("ALONE", 0), ("PART_CHARS", 1), ("PART_DOCS", 300), ("HELD_DOCS", 128), ("STEPS", 40)):
+        monkeypatch.setattr(toxicity, name, value)
+    seen = []
+    monkeypatch.setattr(toxicity, "_train_parts", lambda coded, langs, parts, run=toxicity._train_parts: seen.append((coded.count(), parts)) or run(coded, langs, parts))
+    model = toxicity.fit(table, marks)
+    assert seen == [(900, 3)] and model.langs == ["en", "fr"]
+    docs, labels, _ = corpus(300, 9)
+    found = model.scores([toxicity.word_codes(d) for d in docs]) >= toxicity.CUT
+    assert (found == np.array(labels).astype(bool)).mean() >= 0.95
