@@ -190,3 +190,30 @@ def test_rows_of_a_task_do_not_grow_with_the_input(spark, items, lines, monkeypa
     assert parts > 4 and pairs.rdd.getNumPartitions() == parts and both.rdd.getNumPartitions() == parts
     assert {tuple(r) for r in pairs.collect()} == want
     assert {(r["product_a"], r["product_b"], r["co_purchase_orders"]) for r in both.collect()} == want
+
+
+def test_a_column_of_the_product_comes_along(spark):
+    rows = [(o, x, 10 * x) for o, xs in ((1, (1, 2, 3)), (2, (1, 2)), (3, (2, 4, 5, 6))) for x in xs]
+    basket = spark.createDataFrame(rows, "order_id long, product_id long, orders long")
+    got = {tuple(r) for r in p.co_purchase_pairs(basket, 2, carried="orders").collect()}
+    plain = p.co_purchase_pairs(basket.drop("orders"), 2).collect()
+    assert got == {(*r, 10 * r["product_a"], 10 * r["product_b"]) for r in plain} and (1, 2, 2, 10, 20) in got
+
+
+def test_a_finished_step_leaves_no_shuffle_files(spark):
+    def held():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+    import time
+
+    from martlight.session import stable, tune
+
+    tune(spark)
+    before = held()
+    kept = stable(spark.range(1000).groupBy((F.col("id") % 50).alias("k")).count())
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before and kept.count() == 50
