@@ -1,5 +1,7 @@
 """The chain on fitted models, bundles and files."""
 
+import threading
+
 import pytest
 
 from martlight.plans import chain as c
@@ -59,3 +61,19 @@ def test_file_scoring_sets_rows_aside(spark, chain, tmp_path):
     scored = spark.read.option("header", True).csv(str(tmp_path / "out" / "scored")).collect()
     assert [r["customer_id"] for r in scored] == ["a"] and float(scored[0][v.PREDICTED]) >= 0
     assert spark.read.option("header", True).csv(str(tmp_path / "out" / "rejected")).count() == 3
+
+
+def test_fits_run_side_by_side(star, monkeypatch):
+    meeting = threading.Barrier(3, timeout=20)
+
+    class Met(Exception):
+        pass
+
+    def meet(*args, **options):
+        meeting.wait()
+        raise Met
+
+    for owner, name in ((c, "fitted_segments"), (c, "fitted"), (c.rec, "purchase_rows")):
+        monkeypatch.setattr(owner, name, meet)
+    with pytest.raises(Met):
+        c.run_chain(star)
