@@ -37,8 +37,9 @@ DEEPEST = 14
 SMALL = 512
 #: Members of its largest class that a node offers to those outside at a time, and how often it does so at most.
 MEET, TURNS = 8, 4
-#: Nodes (one long each) of a list that may be broadcast to pick their texts; a longer one is joined by exchange.
-LISTED = 1_000_000
+#: Nodes (one long each) of a list that may be broadcast to pick their texts; a longer one is joined by exchange.  The driver
+#: holds several lists at a time, as rows, as a hash table and as blocks.
+LISTED = 100_000
 #: Texts whose sketches or sets one task holds.
 TEXTS = 2_000
 _SALTS = 64

@@ -197,3 +197,11 @@ def test_short_edge_lists_stay_in_one_partition(spark):
     roots = chosenpath.components(edges)
     assert roots.rdd.getNumPartitions() == 1
     assert {(r["node"], r["root"]) for r in roots.collect()} == {(i, 0) for i in range(1, 201)}
+
+
+def test_long_lists_of_texts_are_not_held_by_the_driver(spark):
+    texts = spark.range(10).selectExpr("id AS node", "'x' AS text")
+    few, many = (chosenpath._texts_of(texts, spark.range(n).toDF("node")) for n in (1000, 150_000))
+    assert "strategy=broadcast" in few._jdf.queryExecution().logical().toString()
+    assert "strategy=broadcast" not in many._jdf.queryExecution().logical().toString()
+    assert few.count() == many.count() == 10
